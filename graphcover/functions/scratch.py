@@ -8,6 +8,7 @@ earlier round. The folder is the cluster's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,16 @@ def release(*tables: DataFrame) -> None:
             delete_path(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files.
+
+    Spark deletes them once the driver's JVM has collected the steps, by itself only
+    every half hour; operators of several large steps ask for it between them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_paths):
