@@ -256,6 +256,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     return found.mapInArrow(digest, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    found = contamination(docs, items, window, id_col, text_col)
+    gone = materialize(found.filter("n_hit > 0").select(F.col(id_col).alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("items").withColumn("contaminated", F.col("n_hit") > 0)

@@ -317,7 +317,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = lines.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("class", "first")
     repeats = lines.join(twice, "class").filter(place != F.col("first")).select("id", F.struct("line_no", F.col("first.id").alias("doc")).alias("hit"))
     removed = repeats.groupBy("id").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
-    totals = lines.groupBy("id").agg(F.count_distinct("line_no").alias("n_lines"), F.sum("partners").alias("n_links"))
+    own = lines.groupBy("id").agg(F.collect_set(F.struct("line_no", "partners")).alias("own"))
+    total = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["partners"])
+    totals = own.select("id", F.size("own").cast("long").alias("n_lines"), total.alias("n_links"))
     none = F.array().cast(removed.schema["hits"].dataType)
     hits = F.coalesce("hits", none)
     return totals.join(removed, totals["id"].eqNullSafe(removed["id"]), "left").select(

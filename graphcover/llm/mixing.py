@@ -74,23 +74,10 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def mix(
-    docs: DataFrame,
-    weights: DataFrame | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    max_epochs: int = MAX_EPOCHS,
-    seed: str = SEED,
-) -> DataFrame:
-    """``id, size, source, source_size, target, taken`` for every document.
-
-    ``weights`` has ``source, weight``; without it, sources in code point order
-    weigh 1, 2, 3, 1, 2, 3 and so on. A source without a weight weighs nothing.
-    """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def _taken(docs: DataFrame, weights, id_col: str, text_col: str, source_col: str, max_epochs: int, seed: str) -> DataFrame:
+    """Every document's size, order, and whole and further words taken, with its source's target."""
     sized = materialize(
-        docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), order.alias("_order"))
+        docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), _order(id_col, seed).alias("_order"))
         .withColumn("_key", source_key(F.col("source")))
         .withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)),
         "sized",
@@ -116,15 +103,60 @@ def mix(
     inside = Window.partitionBy("_key", "_bucket").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
-    return (
-        sized.join(offsets, ["_key", "_bucket"])
-        .withColumn("_before", before)
-        .join(plan, "_key")
-        .select(
-            F.col("_id").alias(id_col), "size", "source", "source_size", "target",
-            (F.col("_whole") * F.col("size") + extra).cast("long").alias("taken"),
-        )
-    )
+    return sized.join(offsets, ["_key", "_bucket"]).withColumn("_before", before).join(plan, "_key").withColumn("_extra", extra.cast("long"))
+
+
+def _order(id_col: str, seed: str) -> F.Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+
+def mix(
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    max_epochs: int = MAX_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """``id, size, source, source_size, target, taken`` for every document.
+
+    ``weights`` has ``source, weight``; without it, sources in code point order
+    weigh 1, 2, 3, 1, 2, 3 and so on. A source without a weight weighs nothing.
+    """
+    told = _taken(docs, weights, id_col, text_col, source_col, max_epochs, seed)
+    taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long").alias("taken")
+    return told.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", taken)
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    max_epochs: int = MAX_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """The mix itself: a row for each repetition of a document, whole texts with all their columns.
+
+    ``mix_repetition`` counts from 1, ``mix_words`` tells how many of its words the
+    repetition gives: all of them but for the one document of a source at which its
+    words run out. Documents find their repetitions by comparing themselves with that
+    document of their source, a row per source, so texts are not shuffled.
+    """
+    told = _taken(docs, weights, id_col, text_col, source_col, max_epochs, seed)
+    last = F.max(F.when(F.col("_extra") > 0, F.struct("_order", "_id", "size", "_extra")))
+    cuts = materialize(told.groupBy("_key").agg(F.first("_whole").alias("_whole"), last.alias("_last")), "cuts")
+    sized = docs.withColumns({"_key": source_key(F.col(source_col)), "_size": word_count(F.col(text_col)), "_order": _order(id_col, seed)})
+    at = sized.join(cuts, "_key")
+    own = F.struct(F.col("_order"), F.col(id_col), F.col("_size"))
+    cut = F.struct(F.col("_last._order"), F.col("_last._id").alias(id_col), F.col("_last.size").alias("_size"))
+    extra = F.when(F.col("_last").isNull() | (own > cut), F.lit(0)).when(own == cut, F.col("_last._extra")).otherwise(F.col("_size"))
+    n = (F.col("_whole") + F.when(extra > 0, 1).otherwise(0)).cast("int")
+    rows = at.withColumns({"_extra": extra, "_n": n}).filter("_n > 0").withColumn("mix_repetition", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    words = F.when(F.col("mix_repetition") <= F.col("_whole"), F.col("_size")).otherwise(F.col("_extra")).cast("long")
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("mix_repetition", "mix_words")), "mix_repetition", words.alias("mix_words"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

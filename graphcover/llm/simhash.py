@@ -108,6 +108,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, the one with the smallest id; of rows that share an id, one."""
+    found = materialize(near_duplicates(docs, id_col, text_col, radius, shingle), "components")
+    gone = materialize(found.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    again = materialize(found.groupBy(F.col(id_col).alias("_again")).count().filter("count > 1 AND _again IS NOT NULL").select("_again"), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept[id_col] == again["_again"], "left_anti")
+    return once.unionByName(kept.join(again, kept[id_col] == again["_again"], "left_semi").dropDuplicates([id_col]))
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
