@@ -1,6 +1,310 @@
-"""The engine's registered queries and their DuckDB equivalents."""
+"""The engine's registered queries and their DuckDB equivalents.
+
+Each query applies one operator to a graph made of whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphcover.operators import components as cc
+from graphcover.operators import graph as g
+from graphcover.operators import growth as gr
+from graphcover.operators import metrics as m
+from graphcover.operators.whiskers import whisker_nodes
+from graphcover.plans import testgraphs as t
+from graphcover.plans.discover import discover_communities, solve_components
+from graphcover.sources import files
+from graphcover.sources.params import Params, params_frame
+
+GAMMA = 5
+PLANTED = Params(p=0.8, q=0.1, gamma=10, dense_threshold=250, max_cluster_iter=3, svd_rank=125, test_id="planted", edge_file="planted.txt")
+PLACES = 9
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, PLACES) for n in names})
+
+
+def edges_canonical(spark, sf):
+    """Loops, repeats and both directions go in; each edge comes out once."""
+    raw = t.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return g.canonical_edges(g.adjacency(raw))
+
+
+def edges_parsed(spark, sf):
+    lines = t.copart(spark, sf).select(F.concat_ws(" \t ", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value"))
+    return files.parse_edges(lines, base=1)
+
+
+def symmetrized(spark, sf):
+    return g.adjacency(t.copart(spark, sf))
+
+
+def adjacency_list(spark, sf):
+    return g.adjacency_list(t.strong(spark, sf)).select("node", F.array_join("neighbours", " ").alias("neighbours"))
+
+
+def degree(spark, sf):
+    return g.degrees(t.copart(spark, sf), t.parts(spark, sf))
+
+
+def multigraph_degree(spark, sf):
+    """Repeated pairs count: one edge for each shared order."""
+    return g.degrees(t._pairs_in_order(spark, sf, "l_suppkey").select("src", "dst"), t.suppliers(spark, sf))
+
+
+def degree_stats(spark, sf):
+    return g.degree_stats(degree(spark, sf))
+
+
+def degree_histogram(spark, sf):
+    return g.degree_histogram(degree(spark, sf))
+
+
+def max_degree(spark, sf):
+    return g.max_degree(degree(spark, sf))
+
+
+def edge_count(spark, sf):
+    return degree(spark, sf).agg(F.expr("sum(deg) div 2").alias("n_edges"))
+
+
+def pure_nodes(spark, sf):
+    return g.pure_nodes(g.degrees(t.strong(spark, sf), t.suppliers(spark, sf)), 3)
+
+
+def threshold_schedule(spark, sf):
+    return g.threshold_schedule(degree(spark, sf))
+
+
+def induced_subgraph(spark, sf):
+    small = t.table(spark, sf, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("node"))
+    return g.induced_subgraph(t.copart(spark, sf), small)
+
+
+def component_ids(spark, sf):
+    return cc.components(t.suppliers(spark, sf), t.strong(spark, sf))
+
+
+def component_sizes(spark, sf):
+    return component_ids(spark, sf).groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= 2)
+
+
+def whiskers(spark, sf):
+    return whisker_nodes(t.strong(spark, sf), GAMMA)
+
+
+def pruned_nodes(spark, sf):
+    """Nodes with an edge that no whisker has."""
+    deg = g.degrees(t.strong(spark, sf), t.suppliers(spark, sf))
+    return deg.filter("deg > 0").select("node").join(whiskers(spark, sf), "node", "left_anti")
+
+
+def edges_to_cluster(spark, sf):
+    return gr.edges_to_cluster(t.common(spark, sf), t.supplier_nations(spark, sf))
+
+
+def grow_community(spark, sf):
+    return gr.grow(t.common(spark, sf), t.supplier_nations(spark, sf), 0.8, 0.1)
+
+
+def argmax_attach(spark, sf):
+    own = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") + 1).cast("long").alias("label"), "s_acctbal")
+    return gr.argmax_attach(t.common(spark, sf), own.filter("s_acctbal > 0").select("node", "label"), own.filter("s_acctbal <= 0").select("node"))
+
+
+def sample_nodes(spark, sf):
+    return gr.sample_nodes(t.parts(spark, sf), 100, seed=7)
+
+
+def cut_ratio(spark, sf):
+    return _rounded(m.cut_ratio(t.copart(spark, sf), t.brands(spark, sf), t.parts(spark, sf).count()), "cut_ratio")
+
+
+def conductance(spark, sf):
+    return _rounded(m.conductance(t.copart(spark, sf), t.brands(spark, sf)), "conductance")
+
+
+def fomd(spark, sf):
+    return _rounded(m.fomd(t.common(spark, sf), t.supplier_nations(spark, sf), t.suppliers(spark, sf)), "fomd")
+
+
+def tpr(spark, sf):
+    return _rounded(m.tpr(t.copart(spark, sf), t.brands(spark, sf)), "tpr")
+
+
+def modularity(spark, sf):
+    return _rounded(m.modularity(t.copart(spark, sf), t.brands(spark, sf)), "modularity")
+
+
+def edge_density(spark, sf):
+    return _rounded(m.edge_density(t.copart(spark, sf), t.brands(spark, sf)), "density")
+
+
+def metric_suite(spark, sf):
+    return _rounded(m.metric_suite(t.copart(spark, sf), t.brands(spark, sf), t.parts(spark, sf)), "cut_ratio", "conductance", "fomd", "tpr", "modularity")
+
+
+def community_f1(spark, sf):
+    return _rounded(m.community_f1(t.brands(spark, sf), t.types(spark, sf)), "precision", "recall", "f1")
+
+
+def average_f1(spark, sf):
+    return _rounded(m.average_f1(t.brands(spark, sf), t.types(spark, sf)), "average_f1")
+
+
+def node_pairs(spark, sf):
+    return g.unordered_pairs(t.supplier_nations(spark, sf).select(F.col("comm_id").alias("group"), F.col("node").alias("value")))
+
+
+def community_lines(spark, sf):
+    return files.community_lines(t.supplier_nations(spark, sf))
+
+
+def communities_parsed(spark, sf):
+    lines = files.community_lines(t.supplier_nations(spark, sf)).select((F.col("comm_id") + 1).alias("line"), "value")
+    return files.parse_communities(lines, base=1)
+
+
+def snap_export(spark, sf):
+    return files.snap_rows(t.strong(spark, sf)).select("value")
+
+
+def metis_parse(spark, sf):
+    """Adjacency lines of the strong supplier graph, with their header, parsed as METIS."""
+    adj = g.adjacency_list(t.strong(spark, sf))
+    body = t.suppliers(spark, sf).join(adj, "node", "left").select((F.col("node") + 1).alias("line"), F.coalesce(F.array_join("neighbours", " "), F.lit("")).alias("value"))
+    head = t.suppliers(spark, sf).agg(F.lit(1).cast("long").alias("line"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" 0")).alias("value"))
+    return files.parse_metis(body.unionByName(head))
+
+
+def params_lines(spark, sf):
+    return params_frame(spark, PLANTED)
+
+
+def kernel_dense(spark, sf):
+    """Each nation's customers as one component, solved with the full SVD."""
+    return _kernel(spark, sf, PLANTED)
+
+
+def kernel_low_rank(spark, sf):
+    """The same with the sketched SVD."""
+    return _kernel(spark, sf, PLANTED.with_(dense_threshold=3, svd_rank=40))
+
+
+def _kernel(spark, sf, params):
+    truth = t.planted_truth(spark, sf)
+    inner = g.canonical_edges(t.planted(spark, sf)).join(truth.select(F.col("comm_id").alias("c1"), F.col("node").alias("src")), "src").join(truth.select(F.col("comm_id").alias("c2"), F.col("node").alias("dst")), "dst").filter("c1 = c2").select("src", "dst")
+    return solve_components(inner, truth.select(F.col("comm_id").alias("component"), "node"), params)
+
+
+def discover_planted(spark, sf):
+    return discover_communities(t.planted(spark, sf), PLANTED, t.planted_truth(spark, sf).select("node")).cover
+
+
+def discovery_f1(spark, sf):
+    return m.average_f1(discover_planted(spark, sf), t.planted_truth(spark, sf))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        edges_canonical, edges_parsed, symmetrized, adjacency_list, degree, multigraph_degree, degree_stats, degree_histogram, max_degree, edge_count,
+        pure_nodes, threshold_schedule, induced_subgraph, component_ids, component_sizes, whiskers, pruned_nodes, edges_to_cluster, grow_community,
+        argmax_attach, sample_nodes, cut_ratio, conductance, fomd, tpr, modularity, edge_density, metric_suite, community_f1, average_f1, node_pairs,
+        community_lines, communities_parsed, snap_export, metis_parse, params_lines, kernel_dense, kernel_low_rank, discover_planted, discovery_f1,
+    )
+}
+
+_BOTH = "SELECT src, dst FROM {0} UNION ALL SELECT dst, src FROM {0}"
+_DEG = f"deg AS (SELECT p_partkey AS node, count(src) AS deg FROM part LEFT JOIN ({_BOTH.format('copart')}) a ON src = p_partkey GROUP BY p_partkey)"
+_GDEG = f"deg AS (SELECT s_suppkey AS node, count(src) AS deg FROM supplier LEFT JOIN ({_BOTH.format('g')}) a ON src = s_suppkey GROUP BY s_suppkey)"
+_BRAND = "cover AS (SELECT p_brand AS comm_id, p_partkey AS node FROM part)"
+_NATION = "cover AS (SELECT CAST(s_nationkey AS BIGINT) AS comm_id, s_suppkey AS node FROM supplier)"
+_INOUT = """adj AS ({both}),
+inout AS (
+  SELECT c.comm_id, c.node, count(i.node) AS deg_in, count(a.src) - count(i.node) AS deg_out
+  FROM cover c LEFT JOIN adj a ON a.src = c.node LEFT JOIN cover i ON i.comm_id = c.comm_id AND i.node = a.dst GROUP BY c.comm_id, c.node),
+sums AS (SELECT comm_id, count(*) AS d, sum(deg_in) AS s_in, sum(deg_out) AS s_out FROM inout GROUP BY comm_id)"""
+_PART = f"{t.COPART_SQL}, {_BRAND}, {_INOUT.format(both=_BOTH.format('copart'))}"
+_SUPP = f"{t.COMMON_SQL}, {_NATION}, {_INOUT.format(both=_BOTH.format('g'))}"
+_INTO = "into_ AS (SELECT c.comm_id, a.src AS node, count(*) AS n_edges FROM adj a JOIN cover c ON c.node = a.dst GROUP BY c.comm_id, a.src), outside AS (SELECT * FROM into_ ANTI JOIN cover USING (comm_id, node))"
+_TRI = """inner_ AS (SELECT a.comm_id, e.src, e.dst FROM copart e JOIN cover a ON a.node = e.src JOIN cover b ON b.node = e.dst AND b.comm_id = a.comm_id),
+tri AS (SELECT x.comm_id, x.src AS u, x.dst AS v, y.dst AS w FROM inner_ x JOIN inner_ y ON x.comm_id = y.comm_id AND x.dst = y.src
+        JOIN inner_ z ON z.comm_id = x.comm_id AND z.src = x.src AND z.dst = y.dst),
+hit AS (SELECT comm_id, count(DISTINCT n) AS hit FROM (SELECT comm_id, unnest([u, v, w]) AS n FROM tri) GROUP BY comm_id),
+tprs AS (SELECT comm_id, coalesce(hit, 0) / d AS tpr FROM (SELECT comm_id, count(*) AS d FROM cover GROUP BY comm_id) LEFT JOIN hit USING (comm_id))"""
+_MOD = """mods AS (
+  SELECT comm_id, (sum(deg_in) / 2 - (sum(deg_in + deg_out) * CAST(sum(deg_in + deg_out) AS DOUBLE) - sum(CAST(deg_in + deg_out AS DOUBLE) * (deg_in + deg_out))) / (4 * (SELECT count(*) FROM copart)))
+         / (2 * (SELECT count(*) FROM copart)) AS modularity
+  FROM inout GROUP BY comm_id)"""
+_MEDIAN = "median_ AS (SELECT median(deg) AS med FROM deg)"
+_REACH = f"""WITH RECURSIVE {t.STRONG_SQL}, adj AS ({_BOTH.format('g')}),
+low AS (SELECT src AS node FROM adj GROUP BY src HAVING count(*) < {GAMMA}),
+walk(root, blk, node) AS (
+  SELECT src, dst, src FROM adj JOIN low ON low.node = src
+  UNION SELECT w.root, w.blk, a.dst FROM walk w JOIN low ON low.node = w.node JOIN adj a ON a.src = w.node WHERE a.dst <> w.blk),
+small AS (SELECT root, blk FROM walk LEFT JOIN low USING (node) GROUP BY root, blk HAVING count(*) < {GAMMA} AND count(low.node) = count(*)),
+whisker AS (SELECT DISTINCT node FROM walk JOIN small USING (root, blk))"""
+_COMPONENTS = f"""WITH RECURSIVE {t.STRONG_SQL}, adj AS ({_BOTH.format('g')}),
+reach(node, other) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.node, a.dst FROM reach r JOIN adj a ON a.src = r.other),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+_F1 = f"""{_BRAND}, truth AS (SELECT p_type AS truth_id, p_partkey AS node FROM part),
+f AS (
+  SELECT comm_id, truth_id, count(*) / nf AS precision, count(*) / nt AS recall, 2 * count(*) / (nf + nt) AS f1
+  FROM cover JOIN truth USING (node) JOIN (SELECT comm_id, count(*) AS nf FROM cover GROUP BY comm_id) USING (comm_id)
+  JOIN (SELECT truth_id, count(*) AS nt FROM truth GROUP BY truth_id) USING (truth_id) GROUP BY comm_id, truth_id, nf, nt)"""
+
+ORACLE_SQL = {
+    "edges_canonical": "SELECT DISTINCT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_partkey <> l_suppkey",
+    "edges_parsed": f"WITH {t.COPART_SQL} SELECT src - 1 AS src, dst - 1 AS dst FROM copart",
+    "symmetrized": f"WITH {t.COPART_SQL} {_BOTH.format('copart')}",
+    "adjacency_list": f"WITH {t.STRONG_SQL} SELECT CAST(src AS VARCHAR) AS node, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY CAST(dst AS VARCHAR)) AS neighbours FROM ({_BOTH.format('g')}) GROUP BY src",
+    "degree": f"WITH {t.COPART_SQL}, {_DEG} SELECT * FROM deg",
+    "multigraph_degree": f"WITH {t.COSUPP_SQL}, adj AS (SELECT src, w FROM cosupp UNION ALL SELECT dst, w FROM cosupp) SELECT s_suppkey AS node, CAST(coalesce(sum(w), 0) AS BIGINT) AS deg FROM supplier LEFT JOIN adj ON src = s_suppkey GROUP BY s_suppkey",
+    "degree_stats": f"WITH {t.COPART_SQL}, {_DEG} SELECT count(*) AS n_nodes, round(avg(deg), 6) AS mean_degree, CAST(median(deg) AS DOUBLE) AS median_degree, round(stddev_pop(deg), 6) AS sd_degree, max(deg) AS max_degree FROM deg",
+    "degree_histogram": f"""WITH {t.COPART_SQL}, {_DEG}, e AS (SELECT min(deg) AS lo, (max(deg) - min(deg)) / 40.0::DOUBLE AS w FROM deg),
+b AS (SELECT CAST(CASE WHEN w > 0 THEN least(floor((deg - lo) / w), 39) ELSE 0 END AS BIGINT) AS bin, lo, w FROM deg, e)
+SELECT bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high, count(*) AS n FROM b GROUP BY bin, lo, w""",
+    "max_degree": f"WITH {t.COPART_SQL}, {_DEG} SELECT max(deg) AS max_degree FROM deg",
+    "edge_count": f"WITH {t.COPART_SQL} SELECT count(*) AS n_edges FROM copart",
+    "pure_nodes": f"WITH {t.STRONG_SQL}, {_GDEG} SELECT node, deg FROM deg WHERE deg <= 3",
+    "threshold_schedule": f"""WITH {t.COPART_SQL}, {_DEG}, th AS (SELECT DISTINCT greatest(deg, 2) AS threshold FROM deg)
+SELECT threshold, (SELECT count(*) FROM deg WHERE deg <= threshold) AS pure FROM th
+WHERE threshold <= (SELECT max(deg) FROM deg) AND threshold - 1 < (SELECT count(*) FROM deg)""",
+    "induced_subgraph": f"WITH {t.COPART_SQL}, s AS (SELECT p_partkey AS k FROM part WHERE p_size <= 25) SELECT src, dst FROM copart WHERE src IN (SELECT k FROM s) AND dst IN (SELECT k FROM s)",
+    "component_ids": f"{_COMPONENTS} SELECT node, component FROM comp",
+    "component_sizes": f"{_COMPONENTS} SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) >= 2",
+    "whiskers": f"{_REACH} SELECT node FROM whisker",
+    "pruned_nodes": f"{_REACH} SELECT DISTINCT src AS node FROM adj WHERE src NOT IN (SELECT node FROM whisker)",
+    "edges_to_cluster": f"WITH {_SUPP}, {_INTO} SELECT comm_id, node, n_edges FROM outside",
+    "grow_community": f"WITH {_SUPP}, {_INTO} SELECT comm_id, node, true AS is_core FROM cover UNION ALL SELECT o.comm_id, o.node, false FROM outside o JOIN sums USING (comm_id) WHERE n_edges >= d * ((0.8::DOUBLE + 0.1::DOUBLE) / 2)",
+    "argmax_attach": f"""WITH {t.COMMON_SQL}, adj AS ({_BOTH.format('g')}),
+c AS (SELECT a.src AS node, CAST(s_nationkey + 1 AS BIGINT) AS label, count(*) AS n_edges FROM adj a JOIN supplier ON s_suppkey = a.dst WHERE s_acctbal > 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n_edges DESC, label) AS k FROM c)
+SELECT s_suppkey AS node, coalesce(label, 0) AS label, coalesce(n_edges, 0) AS n_edges FROM supplier LEFT JOIN (SELECT * FROM r WHERE k = 1) r ON r.node = s_suppkey WHERE s_acctbal <= 0""",
+    "cut_ratio": f"WITH {_PART} SELECT comm_id, round(s_out / (d * ((SELECT count(*) FROM part) - d)), {PLACES}) AS cut_ratio FROM sums",
+    "conductance": f"WITH {_PART} SELECT comm_id, round(coalesce(s_out / nullif(s_in + s_out, 0), 0), {PLACES}) AS conductance FROM sums",
+    "fomd": f"WITH {_SUPP}, {_GDEG}, {_MEDIAN} SELECT comm_id, round(avg(CASE WHEN deg_in >= med THEN 1 ELSE 0 END), {PLACES}) AS fomd FROM inout, median_ GROUP BY comm_id",
+    "tpr": f"WITH {_PART}, {_TRI} SELECT comm_id, round(tpr, {PLACES}) AS tpr FROM tprs",
+    "modularity": f"WITH {_PART}, {_MOD} SELECT comm_id, round(modularity, {PLACES}) AS modularity FROM mods",
+    "edge_density": f"WITH {_PART} SELECT comm_id, round(s_in / nullif(d * (d - 1), 0), {PLACES}) AS density FROM sums",
+    "metric_suite": f"""WITH {_PART}, {_DEG}, {_MEDIAN}, {_TRI}, {_MOD},
+fomds AS (SELECT comm_id, avg(CASE WHEN deg_in >= med THEN 1 ELSE 0 END) AS fomd FROM inout, median_ GROUP BY comm_id)
+SELECT round((SELECT avg(s_out / (d * ((SELECT count(*) FROM part) - d))) FROM sums), {PLACES}) AS cut_ratio,
+       round((SELECT avg(coalesce(s_out / nullif(s_in + s_out, 0), 0)) FROM sums), {PLACES}) AS conductance,
+       round((SELECT avg(fomd) FROM fomds), {PLACES}) AS fomd, round((SELECT avg(tpr) FROM tprs), {PLACES}) AS tpr,
+       round((SELECT sum(modularity) FROM mods), {PLACES}) AS modularity""",
+    "community_f1": f"WITH {_F1} SELECT comm_id, truth_id, round(precision, {PLACES}) AS precision, round(recall, {PLACES}) AS recall, round(f1, {PLACES}) AS f1 FROM f",
+    "average_f1": f"""WITH {_F1},
+a AS (SELECT avg(coalesce(best, 0)) AS x FROM (SELECT DISTINCT comm_id FROM cover) LEFT JOIN (SELECT comm_id, max(f1) AS best FROM f GROUP BY comm_id) USING (comm_id)),
+b AS (SELECT avg(coalesce(best, 0)) AS y FROM (SELECT DISTINCT truth_id FROM truth) LEFT JOIN (SELECT truth_id, max(f1) AS best FROM f GROUP BY truth_id) USING (truth_id))
+SELECT round((x + y) / 2, {PLACES}) AS average_f1 FROM a, b""",
+    "node_pairs": f'WITH {_NATION} SELECT a.comm_id AS "group", a.node AS x, b.node AS y FROM cover a JOIN cover b ON a.comm_id = b.comm_id AND a.node < b.node',
+    "community_lines": f"WITH {_NATION} SELECT comm_id, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY node) AS value FROM cover GROUP BY comm_id",
+    "communities_parsed": f"WITH {_NATION} SELECT comm_id + 1 AS comm_id, node - 1 AS node FROM cover",
+    "snap_export": f"WITH {t.STRONG_SQL} SELECT src || chr(9) || dst AS value FROM ({_BOTH.format('g')})",
+    "metis_parse": f"WITH {t.STRONG_SQL} SELECT src, dst FROM g",
+}

@@ -1 +1 @@
-
+"""Append-only logs that a running discovery writes and others may follow."""
