@@ -295,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x, y, part = x[order], y[order], part[order]
     grow, curve = (part < 7, part == 7) if split else (part >= 0, part >= 0)
     trees, start = fit_trees(x[grow], y[grow])
-    return Model(learned, trees, start, fit_isotonic(boosted(x[curve], trees, start), y[curve]), None)
+    steps = fit_isotonic(boosted(x[curve], trees, start), y[curve])
+    return Model(learn_lexicon(rows) if split else learned, trees, start, steps, None)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
