@@ -174,10 +174,11 @@ def snap_export(spark, sf):
 
 def metis_parse(spark, sf):
     """Adjacency lines of the strong supplier graph, with their header, parsed as METIS."""
-    adj = g.adjacency_list(t.strong(spark, sf))
-    body = t.suppliers(spark, sf).join(adj, "node", "left").select((F.col("node") + 1).alias("line"), F.coalesce(F.array_join("neighbours", " "), F.lit("")).alias("value"))
+    adj = g.adjacency_list(t.strong(spark, sf).select(F.col("src") + 1, F.col("dst") + 1).toDF("src", "dst"))  # the keys start at 0, METIS at 1
+    ids = t.suppliers(spark, sf).select((F.col("node") + 1).alias("node"))
+    body = ids.join(adj, "node", "left").select((F.col("node") + 1).alias("line"), F.coalesce(F.array_join("neighbours", " "), F.lit("")).alias("value"))
     head = t.suppliers(spark, sf).agg(F.lit(1).cast("long").alias("line"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" 0")).alias("value"))
-    return files.parse_metis(body.unionByName(head))
+    return files.parse_metis(body.unionByName(head)).select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"))
 
 
 def params_lines(spark, sf):
