@@ -142,7 +142,7 @@ def mixed_documents(
 
     ``mix_repetition`` counts from 1, ``mix_words`` tells how many of its words the
     repetition gives: all of them but for the one document of a source at which its
-    words run out. Documents find their repetitions by comparing themselves with that
+    words run out. Documents without words are in no mix. Documents find their repetitions by comparing themselves with that
     document of their source, a row per source, so texts are not shuffled.
     """
     told = _taken(docs, weights, id_col, text_col, source_col, max_epochs, seed)
@@ -156,7 +156,8 @@ def mixed_documents(
     n = (F.col("_whole") + F.when(extra > 0, 1).otherwise(0)).cast("int")
     rows = at.withColumns({"_extra": extra, "_n": n}).filter("_n > 0").withColumn("mix_repetition", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     words = F.when(F.col("mix_repetition") <= F.col("_whole"), F.col("_size")).otherwise(F.col("_extra")).cast("long")
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("mix_repetition", "mix_words")), "mix_repetition", words.alias("mix_words"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_repetition", "mix_words")]
+    return rows.filter("_size > 0").select(*kept, "mix_repetition", words.alias("mix_words"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

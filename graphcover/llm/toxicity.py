@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features, isotonic calibration.
 
-Features are rates of a document's words: hits of a fixed lexicon and of a lexicon
-learned from labels, second-person words near a hit, capitals, exclamation and other
-punctuation, symbols, and obfuscated spellings (``1d10t``, ``i.d.i.o.t``). The learned
-lexicon has whole words and word beginnings (``stem*``), so inflected forms count.
+Features are rates and logarithmic counts of a document's words (its length is none):
+hits of a fixed lexicon and of a lexicon learned from labels, second-person words near a
+hit, capitals, exclamation and other punctuation, symbols, and obfuscated spellings
+(``1d10t``, ``i.d.i.o.t``). The learned lexicon has whole words and word beginnings
+(``stem*``), so inflected forms count.
 
 The model is fitted on at most ``MAX_LABELLED`` labelled rows, the only sample taken;
 beyond it, those with the smallest hash of their id serve. The rows split by hash:
@@ -59,7 +60,7 @@ _EDGE = re.compile(r"^\W+|\W+$")
 _MIXED = re.compile(r"[^\W\d_][\d@$!|*._-]+[^\W\d_]|[\d@$!|*]+[^\W\d_]{2}")
 
 FEATURES = (
-    "log_words", "lexicon_rate", "lexicon_log", "learned_rate", "learned_log", "weight_rate", "weight_max", "near_second", "second_rate",
+    "lexicon_rate", "lexicon_log", "learned_rate", "learned_log", "weight_rate", "weight_max", "near_second", "second_rate",
     "capital_rate", "bang_rate", "symbol_rate", "comma_rate", "obfuscated_rate", "obfuscated_hits",
 )
 
@@ -121,7 +122,7 @@ def features(texts: pa.Array, learned: dict[str, float]) -> np.ndarray:
         obfuscated, hidden = total((table[ids, 7] > 0).astype(float)), total((table[ids, 7] > 1).astype(float))
         rows[:] = np.column_stack(
             [
-                np.log1p(n), 100 * lexicon / size, np.log1p(lexicon), 100 * hits / size, np.log1p(hits), 100 * weight / size, top, np.log1p(near),
+                100 * lexicon / size, np.log1p(lexicon), 100 * hits / size, np.log1p(hits), 100 * weight / size, top, np.log1p(near),
                 100 * total(second) / size, capital / size, bang / size, symbol / size, comma / size, obfuscated / size, hidden,
             ]
         )
