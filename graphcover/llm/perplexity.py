@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize, sweep
+from graphcover.llm.bitset import bitset, passes
 from graphcover.llm.words import chunks, text_column
 
 ORDER = 4
@@ -184,14 +185,29 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return shares.filter(F.col("below") >= quantile).groupBy("lang").agg(F.min("steps").alias("most"))
 
 
+def _trusted_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose id is trusted. Ids are as many as trusted documents, so they are joined, not sent along;
+    a bitset of their hashes goes ahead and spares other texts the shuffle."""
+    key = lambda c: F.xxhash64(F.col(c).cast("string"))
+    bits = texts.sparkSession.sparkContext.broadcast(bitset(ids.select(key("_trusted").alias("id"))))
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits.value, batch.column(2).to_numpy(zero_copy_only=False)))).select([0, 1])
+
+    kind = texts.schema["_id"].dataType.simpleString()
+    found = texts.filter(F.col("_id").isNotNull()).withColumn("_key", key("_id")).mapInArrow(likely, f"_id {kind}, _text string")
+    return found.join(ids.hint("merge"), found["_id"] == ids["_trusted"], "left_semi")
+
+
 def classify(
     docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE
 ) -> DataFrame:
     """``id, perplexity, threshold, kept`` for every document; ``trusted_ids`` has the ids of trusted text."""
-    ids = trusted_ids.select(F.col(id_col).alias("_trusted")).distinct()
+    ids = materialize(trusted_ids.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_trusted")).distinct(), "trusted")
     lang = F.coalesce(F.concat(F.lit("l"), F.col(lang_col)), F.lit("n"))
     slim = docs.select(id_col, lang.alias("_lang"), F.col(text_col).alias("_text"))
-    logs = train(slim.join(ids, slim[id_col] == ids["_trusted"], "left_semi"), "_text")
+    logs = train(_trusted_texts(slim.select(F.col(id_col).alias("_id"), "_text"), ids), "_text")
     sweep(docs.sparkSession)
     if logs is None:
         logs = np.full(CELLS, -np.log2(CLASSES), np.float32)

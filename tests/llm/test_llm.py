@@ -488,3 +488,15 @@ def test_reply_trees(spark):
             paths.append((-sum(nodes[x][1] for x in path), leaf, [f"{t}-{x}" for x in reversed(path)]))
         assert sorted(got[t]) == [(k + 1, p[2]) for k, p in enumerate(sorted(paths)[:2])]
     assert 99 not in got and got[98] == [(1, ["orphan"])] and got[None] == [(1, ["null tree"])]
+
+
+def test_bitset_passes_all_members(spark):
+    from graphcover.llm import bitset
+
+    rng = random.Random(13)
+    ids = [rng.getrandbits(64) - (1 << 63) for _ in range(500)] + [0, -1, 63, 64, (1 << 63) - 1, -(1 << 63)]
+    bits = bitset.bitset(spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert bitset.passes(bits, np.array(ids, np.int64)).all() and len(bits) * 64 == bitset.BITS
+    others = np.array([rng.getrandbits(64) - (1 << 63) for _ in range(5000)], np.int64)
+    assert bitset.passes(bits, others).mean() < 0.01
+    assert not bitset.passes(bitset.bitset(spark.createDataFrame([], "id long")), others).any()
