@@ -5,7 +5,9 @@ the shorter line, at a place that the lengths confine to a few offsets. So a lin
 indexed under (its length, segment number, segment) and probes, for its own and up to
 ``TAU`` shorter lengths, the substrings at those offsets. Only keys travel at first:
 a bucket counts if an indexed and another line meet there, and the texts of the lines
-in such buckets follow. A banded bit-parallel automaton verifies each pair.
+in such buckets follow; a bitset of their ids, of one size whatever the corpus,
+keeps most other texts from being shuffled. A banded bit-parallel automaton verifies
+each pair.
 
 Equal lines are one line from the start (a 128-bit digest), so repeats are never
 paired. A bucket of more than ``GROUP`` lines is dealt out as pairs of blocks, each a
@@ -24,18 +26,21 @@ give empty results. Lines of any length are compared whole. Only id and text are
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize, sweep
-from graphcover.llm.words import text_column
+from graphcover.llm.bitset import bitset, passes
+from graphcover.llm.words import chunks, text_column
 from graphcover.operators.components import linked_components
 
 TAU = 2
 MIN_CHARS = 32
 GROUP = 512
+CHUNK_BYTES = 2 << 20
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -125,13 +130,17 @@ def name(high: int, low: int) -> str:
     return f"{high & (1 << 64) - 1:016x}{low & (1 << 64) - 1:016x}"
 
 
-def _lines(batch_column, least: int):
-    """``row, line number, line`` of every line that is compared."""
-    for row, text in enumerate(text_column(batch_column).to_pylist()):
-        if len(text) >= least:
-            for number, line in enumerate(text.split("\n")):
-                if len(line) >= least and len(line := line.strip(BLANK)) >= least:
-                    yield row, number, line
+def _lines(column, least: int):
+    """For each chunk of texts, a list of ``row, line number, line`` of every line that is compared."""
+    texts = text_column(column)
+    for a, b in chunks(texts, CHUNK_BYTES):
+        found = []
+        for row, text in enumerate(texts.slice(a, b - a).to_pylist(), a):
+            if len(text) >= least:
+                for number, line in enumerate(text.split("\n")):
+                    if len(line) >= least and len(line := line.strip(BLANK)) >= least:
+                        found.append((row, number, line))
+        yield found
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> DataFrame:
@@ -141,15 +150,11 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CH
 
     def run(batches):
         for batch in batches:
-            rows, numbers, high, low = [], [], [], []
-            for row, number, line in _lines(batch.column(1), least):
-                h, w = digest(line)
-                rows.append(row)
-                numbers.append(number)
-                high.append(h)
-                low.append(w)
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["id", "line_no", "high", "low"])
+            for found in _lines(batch.column(1), least):
+                ids = batch.column(0).take(pa.array([row for row, _, _ in found], pa.int64()))
+                numbers = pa.array([number for _, number, _ in found], pa.int32())
+                high, low = zip(*(digest(line) for _, _, line in found)) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([ids, numbers, pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["id", "line_no", "high", "low"])
 
     return materialize(slim.mapInArrow(run, f"id {kind}, line_no int, high long, low long"), "occurrences")
 
@@ -159,13 +164,16 @@ def _distinct(docs: DataFrame, text_col: str, least: int, rows_of, schema: str,
 
     def run(batches):
         for batch in batches:
-            seen, rows = set(), []
-            for _, _, line in _lines(batch.column(0), least):
-                if line not in seen:
-                    seen.add(line)
-                    rows.extend(rows_of(line))
-            columns = list(zip(*rows)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in schema.split(", ")])
+            seen = set()
+            for found in _lines(batch.column(0), least):
+                rows = []
+                for _, _, line in found:
+                    own = xxhash.xxh3_128_digest(line.encode())
+                    if own not in seen:
+                        seen.add(own)
+                        rows.extend(rows_of(line))
+                columns = list(zip(*rows)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(text_col).mapInArrow(run, schema)
 
@@ -252,8 +260,14 @@ def line_links(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
     active = active.groupBy("key", "id").agg(F.max("indexed").alias("indexed"))
     active = materialize(active, "buckets")
     sizes = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
-    texts = _distinct(docs, text_col, least, lambda line: [(digest(line)[0], line)], "id long, line string", [pa.int64(), pa.string()])
     wanted = materialize(active.select("id").distinct(), "wanted")
+    bits = spark.sparkContext.broadcast(bitset(wanted))
+
+    def texted(line):
+        own = digest(line)[0]
+        return [(own, line)] if passes(bits.value, np.array([own]))[0] else []
+
+    texts = _distinct(docs, text_col, least, texted, "id long, line string", [pa.int64(), pa.string()])
     texts = materialize(texts.join(wanted, "id", "left_semi").distinct(), "lines")
     sweep(spark)
     # a line of block r of n meets every block: groups (r, j) and (j, r), smaller block first
@@ -314,7 +328,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = lines.join(known, "node", "left").select("id", "line_no", F.coalesce("component", "node").alias("class"), F.coalesce("partners", F.lit(0)).alias("partners"))
     lines = materialize(lines, "line-classes")
     place = F.struct("id", "line_no")
+    # written first, so that the join below is one of two plain shuffles, whose hot classes Spark can split
     twice = lines.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("class", "first")
+    twice = materialize(twice, "repeated")
     repeats = lines.join(twice, "class").filter(place != F.col("first")).select("id", F.struct("line_no", F.col("first.id").alias("doc")).alias("hit"))
     removed = repeats.groupBy("id").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
     own = lines.groupBy("id").agg(F.collect_set(F.struct("line_no", "partners")).alias("own"))
