@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize
-from graphcover.llm.words import ALNUM, chunks, mapped, split_words, text_column
+from graphcover.llm.words import ALNUM, batched, chunks, mapped, split_words, text_column
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 8 << 20
 
 _SEGMENT = "segment string, doc_ids array<{kind}>, doc_words array<int>, terms binary, term_counts binary, postings binary"
 
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     }
                 )
 
-    return materialize(slim.mapInArrow(build, _SEGMENT.format(kind=kind)), "index")
+    return materialize(batched(slim).mapInArrow(build, _SEGMENT.format(kind=kind)), "index")
 
 
 class Segment:
@@ -200,7 +200,7 @@ def search_windows(index: DataFrame, windows: dict[tuple[str, ...], set], id_col
                 }
             )
 
-    return index.mapInArrow(search, f"`{id_col}` {kind}, row string, n_words long, spans array<array<long>>, items array<string>")
+    return batched(index).mapInArrow(search, f"`{id_col}` {kind}, row string, n_words long, spans array<array<long>>, items array<string>")
 
 
 def search_near(index: DataFrame, queries: list[tuple[str, ...]], span: int, id_col: str = "doc_id") -> DataFrame:
@@ -219,7 +219,7 @@ def search_near(index: DataFrame, queries: list[tuple[str, ...]], span: int, id_
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (ids_type, pa.int64(), pa.int64()))], [id_col, "query", "position"])
 
-    return index.mapInArrow(search, f"`{id_col}` {kind}, query long, position long")
+    return batched(index).mapInArrow(search, f"`{id_col}` {kind}, query long, position long")
 
 
 def covered(spans) -> int:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphcover.llm.words import ALNUM, chunks, mapped, split_words, text_column
+from graphcover.llm.words import ALNUM, batched, chunks, mapped, split_words, text_column
 
 DICE = 0.8
 
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
             columns = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], [id_col, *names])
 
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, license string, template int, dice double, first_line int, last_line int, licenses array<string>")
+    return batched(slim).mapInArrow(run, f"`{id_col}` {kind}, license string, template int, dice double, first_line int, last_line int, licenses array<string>")
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize, sweep
 from graphcover.llm.bitset import bitset, passes
-from graphcover.llm.words import chunks, text_column
+from graphcover.llm.words import batched, chunks, text_column
 from graphcover.operators.components import linked_components
 
 TAU = 2
@@ -156,7 +156,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CH
                 high, low = zip(*(digest(line) for _, _, line in found)) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([ids, numbers, pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["id", "line_no", "high", "low"])
 
-    return materialize(slim.mapInArrow(run, f"id {kind}, line_no int, high long, low long"), "occurrences")
+    return materialize(batched(slim).mapInArrow(run, f"id {kind}, line_no int, high long, low long"), "occurrences")
 
 
 def _distinct(docs: DataFrame, text_col: str, least: int, rows_of, schema: str, types: list) -> DataFrame:
@@ -175,7 +175,7 @@ def _distinct(docs: DataFrame, text_col: str, least: int, rows_of, schema: str,
                 columns = list(zip(*rows)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(text_col).mapInArrow(run, schema)
+    return batched(docs.select(text_col)).mapInArrow(run, schema)
 
 
 def _signed(x: int) -> int:
@@ -309,7 +309,7 @@ def line_links(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
         close()
         yield flush()
 
-    return materialize(sorted_rows.mapInArrow(verify, "src string, dst string, partners long"), "links")
+    return materialize(batched(sorted_rows).mapInArrow(verify, "src string, dst string, partners long"), "links")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize, sweep
 from graphcover.llm.bitset import bitset, passes
-from graphcover.llm.words import chunks, text_column
+from graphcover.llm.words import batched, chunks, text_column
 
 ORDER = 4
 CLASSES = 48
@@ -108,7 +108,7 @@ def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["code", "n"])
 
-    return texts.select(text_col).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return batched(texts.select(text_col)).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def score(docs: DataFrame, logs: np.ndarray, keep: list[str], text_col: str = "t
             found = perplexities(text_column(batch.column(len(keep))), sent.value, lut)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, from_pandas=True)], [*keep, "perplexity"])
 
-    return slim.mapInArrow(run, f"{fields}, perplexity double")
+    return batched(slim).mapInArrow(run, f"{fields}, perplexity double")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -196,7 +196,8 @@ def _trusted_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(passes(bits.value, batch.column(2).to_numpy(zero_copy_only=False)))).select([0, 1])
 
     kind = texts.schema["_id"].dataType.simpleString()
-    found = texts.filter(F.col("_id").isNotNull()).withColumn("_key", key("_id")).mapInArrow(likely, f"_id {kind}, _text string")
+    keyed = batched(texts.filter(F.col("_id").isNotNull()).withColumn("_key", key("_id")))
+    found = keyed.mapInArrow(likely, f"_id {kind}, _text string")
     return found.join(ids.hint("merge"), found["_id"] == ids["_trusted"], "left_semi")
 
 

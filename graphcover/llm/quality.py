@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcover.llm.words import WORD, chunks, split_words, text_column
+from graphcover.llm.words import batched, chunks, split_words, text_column, WORD
 
 #: Bit numbers never change: stored ledgers stay readable when rules are added.
 RULES = {
@@ -111,7 +111,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = _measure(text_column(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[m], pa.int64()) for m in MEASURES)], [id_col, *MEASURES])
 
-    measured = slim.mapInArrow(measure, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = batched(slim).mapInArrow(measure, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = " + ".join(f"IF({rule}, {BITS[name]}L, 0L)" for name, rule in RULES.items())
     return measured.withColumn("fail_bits", F.expr(bits))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize
-from graphcover.llm.words import FOLD, chunks, mapped, split_words, text_column
+from graphcover.llm.words import batched, chunks, FOLD, mapped, split_words, text_column
 from graphcover.operators.components import linked_components
 
 RADIUS = 2
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = fingerprints_of(text_column(batch.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_col, "fp"])
 
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return batched(slim).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
 def ball(half: int) -> list[int]:

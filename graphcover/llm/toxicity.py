@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize
-from graphcover.llm.words import chunks, split_words, text_column
+from graphcover.llm.words import batched, chunks, split_words, text_column
 
 MAX_LABELLED = 40_000
 SPLIT_ROWS = 2_000
@@ -270,7 +270,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     sizes = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     n_toxic, n_other = (sizes[0] or 0), (sizes[1] - (sizes[0] or 0))
     least = max(3, math.ceil(0.004 * n_toxic))
-    counted = rows.select("text", "toxic").mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = batched(rows.select("text", "toxic")).mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / (n_other + 1.0))
     found = counted.filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds > 2.5").orderBy(F.desc("odds"), F.desc("toxic"), "term").limit(MAX_TERMS)
     return {r["term"]: r["odds"] for r in found.collect()}
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = features(text_column(batch.column(0)), learned)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "part"])
 
-    measured = (rows.filter("part >= 4") if split else rows).select("text", "toxic", "part").mapInArrow(measure, "x array<double>, toxic double, part int")
+    measured = batched((rows.filter("part >= 4") if split else rows).select("text", "toxic", "part")).mapInArrow(measure, "x array<double>, toxic double, part int")
     table = measured.toArrow()
     x, y, part = np.array(table["x"].to_pylist()), table["toxic"].to_numpy(), table["part"].to_numpy()
     order = np.lexsort((*x.T, y, part))  # the same trees in whatever order rows arrive
@@ -309,7 +309,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(text_column(batch.column(1))))], [id_col, "score"])
 
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return batched(slim).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
@@ -320,7 +320,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: fl
         for batch in batches:
             yield batch.filter(pc.less(pa.array(model.scores(text_column(batch.column(at)))), reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

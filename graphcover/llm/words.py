@@ -8,9 +8,12 @@ one byte, so the offsets of the column stay as they are.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: A word of white-space separated text, for Spark and DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +23,20 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in _ASCII)
 ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in FOLD)
 
 #: Texts handled together: at most so many bytes, one text at least.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+
+
+#: Bytes of an Arrow batch on its way to Python, so that a worker's memory does not follow its partition's size.
+BATCH_BYTES = 8 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_BYTES``; a longer text is a batch of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)([bkmg]?)b?", (conf.get(name, None) or "").lower())
+    if not size or not 0 < int(size[1]) * 1024 ** "bkmg".index(size[2] or "b") <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def text_column(column) -> pa.Array:
@@ -38,6 +54,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
     edges = np.flatnonzero(np.diff(block)) + 1
     bounds = [0, *edges.tolist(), len(texts)]
     yield from ((a, b) for a, b in zip(bounds, bounds[1:]) if b > a)
+    pa.default_memory_pool().release_unused()
 
 
 def mapped(texts: pa.Array, table: bytes) -> pa.Array:
