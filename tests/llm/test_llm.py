@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphcover.llm import chat, decontam, licenses, linededup, mixing, perplexity, quality, simhash, toxicity, warc
+from graphcover.llm import chat, decontam, licenses, linededup, mixing, neardup, perplexity, quality, simhash, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCAB = [f"w{i}" for i in range(60)] + ["the", "of", "été", "straße"]
@@ -500,3 +500,31 @@ def test_bitset_passes_all_members(spark):
     others = np.array([rng.getrandbits(64) - (1 << 63) for _ in range(5000)], np.int64)
     assert bitset.passes(bits, others).mean() < 0.01
     assert not bitset.passes(bitset.bitset(spark.createDataFrame([], "id long")), others).any()
+
+
+# --- near copies of the pipeline
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(x[i : i + k]) for i in range(max(len(x) - k + 1, 1))} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("rounds", [neardup.ROUNDS, 0])
+def test_near_copies(spark, monkeypatch, rounds):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    rng = random.Random(8)
+    docs = {}
+    for d in range(12):
+        base = [rng.choice(VOCAB) + str(rng.randrange(50)) for _ in range(150)]
+        for k in range(8):
+            docs[d * 10 + k] = list(base)
+            for _ in range(rng.randrange(0, 7)):
+                docs[d * 10 + k][rng.randrange(150)] = f"z{rng.randrange(9)}"
+    comp = brute_components(list(docs), lambda a, b: jaccard(docs[a], docs[b]) >= neardup.LEAST)
+    fps = {d: brute_fingerprint(" ".join(x)) for d, x in docs.items()}
+    assert any(comp[d] != d and all((fps[d] ^ fps[e]).bit_count() > 2 for e in docs if e != d) for d in docs)
+    rows = [(d, " ".join(x)) for d, x in docs.items()] + [(None, " ".join(docs[0])), (None, "alone without an id"), (5, "alone with a taken id"), (5, "alone with a taken id")]
+    left = neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(d, " ".join(docs[d])) for d in docs if comp[d] == d] + [(None, "alone without an id"), (5, "alone with a taken id")]
+    assert Counter(map(tuple, left)) == Counter(want)
