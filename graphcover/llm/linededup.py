@@ -17,7 +17,8 @@ it shares.
 
 A class keeps its first line, by document id and line number; its other occurrences
 are repeated lines. Lines are taken without the blanks at their ends; those under
-``MIN_CHARS`` characters are not compared and stay.
+``MIN_CHARS`` characters take no part in the edit join. With ``short`` their exact
+repeats count all the same, blank lines aside; without it they stay.
 
 Defined results: null and empty texts have no lines; rows that share an id are one
 document, so a row's exact repeat removes nothing; a null id sorts first; empty tables
@@ -312,9 +313,11 @@ def line_links(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
     return materialize(batched(sorted_rows).mapInArrow(verify, "src string, dst string, partners long"), "links")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """One row per document with compared lines: ``id, n_lines, n_links, removed_lines, first_docs``.
 
+    With ``short`` lines under ``least`` characters are compared too, for equality only.
+
     ``removed_lines`` are the numbers (from 0) of lines whose class occurs earlier;
     ``first_docs`` has, in the same order, the document of the class's first line;
     ``n_links`` counts the different lines within the threshold of the document's lines.
@@ -324,7 +327,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partners = found.filter("dst IS NULL").groupBy("src").agg(F.sum("partners").alias("partners"))
     known = materialize(partners.join(classes, partners["src"] == classes["node"]).select("node", "component", "partners"), "classes")
     word = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    lines = occurrences(docs, id_col, text_col, least).select("id", "line_no", F.concat(word("high"), word("low")).alias("node"))
+    lines = occurrences(docs, id_col, text_col, 1 if short else least).select("id", "line_no", F.concat(word("high"), word("low")).alias("node"))
     lines = lines.join(known, "node", "left").select("id", "line_no", F.coalesce("component", "node").alias("class"), F.coalesce("partners", F.lit(0)).alias("partners"))
     lines = materialize(lines, "line-classes")
     place = F.struct("id", "line_no")
@@ -356,7 +359,7 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
 
 def op6_linededup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = repeated_lines(docs)
+    found = repeated_lines(docs, short=True)
     return docs.select("doc_id").distinct().join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"),

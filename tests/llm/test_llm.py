@@ -502,7 +502,14 @@ def test_bitset_passes_all_members(spark):
     assert not bitset.passes(bitset.bitset(spark.createDataFrame([], "id long")), others).any()
 
 
-# --- near copies of the pipeline
+# --- short lines of op6, near copies of the pipeline
+
+
+def test_line_dedup_short_lines(spark, tmp_path):
+    rows = [(1, "short\n\nx\na line of more than thirty-two characters"), (2, "  short\nother\nx"), (3, "shirt\nshort\n \n\na line of more than thirty-two character")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["removed_lines"], r["first_docs"]) for r in linededup.op6_linededup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, [], []), 2: (3, [0, 2], [1, 1]), 3: (3, [1, 4], [1, 1])}
 
 
 def jaccard(a, b, k=5):
