@@ -187,14 +187,19 @@ def test_water_fill_and_weights(spark):
 # --- op5
 
 
-def brute_kneser_ney(counts):
-    order, v = perplexity.ORDER, perplexity.CLASSES
-    tables = [Counter(counts)]
+def brute_kneser_ney(texts):
+    """log2 p of each character and end of a text, given up to ORDER - 1 characters or edges before."""
+    order, edge = perplexity.ORDER, chr(perplexity.EDGE)
+    grams = lambda t: [(edge * (order - 1) + t + edge)[i : i + order] for i in range(len(t) + 1)]
+    tables = [Counter(g for t in texts for g in grams(t))]
     for _ in range(order - 1):
         tables.append(Counter(g[1:] for g in tables[-1]))
     out = []
     for t in tables:
-        d = perplexity._discounts(np.array(list(t.values())))
+        n = Counter(t.values())
+        n1, n2, n3, n4 = (max(n[k], 1) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, *(min(max(x, 0.01), k - 0.01) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))]
         by = defaultdict(list)
         for g, c in t.items():
             by[g[:-1]].append(c)
@@ -202,41 +207,75 @@ def brute_kneser_ney(counts):
 
     def p(gram):
         if not gram:
-            return 1 / v
+            return 1 / (len(tables[-1]) + 1)
         t, d, by = out[order - len(gram)]
         own = by.get(gram[:-1])
         if not own:
             return p(gram[1:])
         c = t.get(gram, 0)
-        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in own) * p(gram[1:])) / sum(own)
+        return (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in own) * p(gram[1:])) / sum(own)
 
-    return p
+    return lambda t: 2 ** (-sum(np.log2(p(g)) for g in grams(t)) / (len(t) + 1))
 
 
-def test_kneser_ney_matches_definition():
+@pytest.mark.parametrize("chunk", [perplexity.CHUNK_BYTES, 300])
+def test_perplexity_of_every_document(spark, monkeypatch, chunk):
+    monkeypatch.setattr(perplexity, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(perplexity, "PIECE_BYTES", min(chunk, perplexity.PIECE_BYTES))
     rng = random.Random(3)
-    texts = pa.array(["".join(rng.choice("abca bd\n") for _ in range(rng.randrange(1, 60))) for _ in range(40)], pa.large_string())
-    lut = perplexity._lut()
-    code, start, n = perplexity._codes(texts, lut)
-    grams = [c for s, k in zip(start, n) for c in code[s : s + k].tolist()]
-    digits = lambda c: tuple(c // perplexity.CLASSES**k % perplexity.CLASSES for k in range(perplexity.ORDER - 1, -1, -1))
-    assert sum(map(len, texts.to_pylist())) + len(texts) == len(grams)
-    logs = perplexity.kneser_ney(np.bincount(grams, minlength=perplexity.CELLS))
-    p = brute_kneser_ney(Counter(map(digits, grams)))
-    for c in [*rng.sample(grams, 60), *(rng.randrange(perplexity.CELLS) for _ in range(40))]:
-        assert abs(2.0 ** logs[c] - p(digits(c))) < 1e-6
-    row = slice(0, perplexity.CLASSES)
-    assert abs((2.0 ** logs[row].astype(float)).sum() - 1) < 1e-4
-
-
-def test_perplexity_classify(spark, docs, no_docs):
+    alphabets = {"en": "abca bd\n", "zh": "的一是在不了有和人这", None: "aé𝄞 "}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(alphabets))
+        rows.append((i, "".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(0, 60))), lang))
+    zh = alphabets["zh"]
+    rows = [(i, (zh * 8)[i % 10 : i % 10 + 10 + i % 60], lang) if lang == "zh" else (i, t, lang) for i, t, lang in rows]
+    rows += [(300, zh * 8, "zh"), (301, "".join(rng.sample(zh * 8, 80)), "zh"), (302, None, "zh"), (303, "unseen ΩΨ", "el"), (304, "ab" * 3000, "en"), rows[5], (None, "abc", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("id", "gram", "chunk", "_id", "steps", "threshold", "perplexity")})
+    trusted = spark.createDataFrame([(i,) for i in range(200)] + [(7,), (None,)], "doc_id long")
+    out = {r["_trusted"] for r in trusted.dropna().selectExpr("doc_id _trusted").filter(perplexity.held_out(F.col("_trusted"))).collect()}
+    known = [*rows[:200], rows[5]]  # a repeated row counts twice
+    measure = brute_kneser_ney([t for i, t, _ in known if i not in out and t])
+    want = {(i, t): measure(t) if t else None for i, t, _ in rows}
+    got = perplexity.classify(df.repartition(3), trusted).collect()
+    assert len(got) == len(rows)
+    steps = defaultdict(list)
+    for i, t, lang in known:
+        if i in out and t:
+            steps[lang].append(want[i, t])
+            steps["every"].append(want[i, t])
+    limit = {k: sorted(v)[int(np.ceil(perplexity.QUANTILE * len(v))) - 1] for k, v in steps.items()}
+    text = {i: (t, lang) for i, t, lang in rows}
+    for r in got:
+        t, lang = text[r["doc_id"]]
+        p = want[r["doc_id"], t]
+        assert (p is None) == (r["perplexity"] is None)
+        if p:
+            assert abs(r["perplexity"] / p - 1) < 1e-4
+        most = limit.get(lang, limit["every"])
+        assert most <= r["threshold"] + 1e-6 <= most + 2 * perplexity.STEP
+        assert r["kept"] == (p is not None and r["perplexity"] <= r["threshold"])
+    by = {r["doc_id"]: r for r in got}
+    assert by[300]["kept"] and not by[301]["kept"] and by[301]["perplexity"] > 2 * by[300]["perplexity"]
+
+
+def test_ngrams_of_a_large_alphabet():
+    texts = pa.array(["".join(chr(0x4E00 + (i * i) % 20_000) for i in range(30_000)), "", "x"], pa.large_string())
+    seq, start, n = perplexity.sequence(texts)
+    number, rows = perplexity.coded(seq, start, n)
+    grams = perplexity.grams_of(rows).to_pylist()
+    edge = chr(perplexity.EDGE)
+    want = [(edge * 4 + t + edge)[i : i + 5] for t in texts.to_pylist() for i in range(len(t) + 1)]
+    assert [grams[k] for k in number] == want and len(set(grams)) == len(grams)
+
+
+def test_perplexity_edge_cases(spark, docs, no_docs):
     trusted = spark.createDataFrame([(i,) for i in range(0, 30, 2)], "doc_id long")
     rows = perplexity.classify(docs, trusted).collect()
     assert len(rows) == docs.count()
     by = {r["doc_id"]: r for r in rows}
     assert by[32]["perplexity"] is None and not by[32]["kept"] and not by[33]["kept"]
-    assert by[0]["kept"] and by[0]["perplexity"] < by[38]["perplexity"]
-    assert not by[38]["kept"]
+    assert by[0]["perplexity"] < by[38]["perplexity"]
     assert perplexity.classify(no_docs, trusted).count() == 0
     assert all(r["kept"] == bool(r["perplexity"]) for r in perplexity.classify(docs, trusted.filter("doc_id < 0")).collect())
 
