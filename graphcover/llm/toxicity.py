@@ -7,16 +7,21 @@ hit, capitals, exclamation and other punctuation, symbols, and obfuscated spelli
 (``stem*``), so inflected forms count.
 
 The model is fitted on at most ``MAX_LABELLED`` labelled rows, the only sample taken;
-beyond it, those with the smallest hash of their id serve. The rows split by hash:
-one half teaches the lexicon, most of the rest the trees, what remains the isotonic
-curve, so no part is fitted to rows that shaped its inputs. Below ``SPLIT_ROWS`` rows
-all parts use all rows. Scoring reads every word of every text, and its cost per word
-is a dictionary lookup per distinct word of a chunk.
+beyond it, those with the smallest hash of their id serve. Rows of equal text are one,
+toxic if any of them is. The rows fall into ``FOLDS`` folds by hash of their text, at
+every size alike: a row's learned-lexicon features come from the lexicon of the other
+folds, and the isotonic curve is fitted to margins of trees grown without the row's
+fold, so neither is fitted to rows that shaped its inputs. The lexicon and the trees of
+all folds then serve. Scoring reads every word of every text, and its cost per word is a
+dictionary lookup per distinct word of a chunk.
 
 Defined results: null and empty texts score like a text without any hit; without
 labels, or with one label value only, the score is that value's share (0.0 if none);
 labels without a document, or null, teach nothing; a document labelled twice counts
-as toxic if either says so; repeated rows score alike; empty tables give empty results.
+as toxic if either says so; repeated rows score alike, in whatever order rows arrive;
+equal gains split at the first feature and lowest cut; texts of any length are read
+whole; only id and text are read, so other columns may have any name; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -36,9 +41,9 @@ from graphcover.functions.scratch import materialize
 from graphcover.llm.words import batched, chunks, split_words, text_column
 
 MAX_LABELLED = 40_000
-SPLIT_ROWS = 2_000
-MAX_TERMS = 4_000
+FOLDS = 5
 REJECT = 0.7
+ODDS = 2.5
 NEAR = 5
 
 #: Common insults in four languages.
@@ -228,7 +233,7 @@ def held_out(id_col: str) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
-    """``text, toxic, part``: at most ``limit`` labelled rows outside the held-out third."""
+    """``text, toxic, fold`` of the different texts of at most ``limit`` labelled rows outside the held-out third."""
     key = F.xxhash64(F.col(id_col).cast("string"))
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -236,21 +241,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         .agg(F.max(label_col).cast("double").alias("_toxic"))
         .orderBy(key, id_col)
         .limit(limit)
-        .select(F.col(id_col).alias("_id"), "_toxic", F.pmod(key, F.lit(8)).cast("int").alias("_part"))
+        .select(F.col(id_col).alias("_id"), "_toxic")
     )
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # at most `limit` rows of two numbers, so this side may be broadcast
-    return slim.join(F.broadcast(chosen), "_id").select(F.col("_text").alias("text"), F.col("_toxic").alias("toxic"), F.col("_part").alias("part"))
+    rows = slim.join(F.broadcast(chosen), "_id").groupBy("text").agg(F.max("_toxic").alias("toxic"))
+    return rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms with their log odds of standing in a toxic row rather than another."""
+def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """Terms with their log odds of standing in a toxic row rather than another: one lexicon without each fold, then that of all.
+
+    The terms are those of at most ``MAX_LABELLED`` rows, each in several toxic rows, so they fit the driver.
+    """
 
     def count(batches):
-        toxic, other = Counter(), Counter()
+        toxic, other = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
         for batch in batches:
             texts = text_column(batch.column(0))
-            label = batch.column(1).to_pylist()
+            label, fold = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 words, offsets = split_words(texts.slice(a, b - a))
                 coded = words.dictionary_encode()
@@ -260,44 +269,57 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
                     found = set()
                     for k in np.unique(ids[offsets[i] : offsets[i + 1]]).tolist():
                         found.update(known[k])
-                    (toxic if label[a + i] > 0 else other).update(found)
-        toxic.pop("", None)
-        terms = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())], ["term", "toxic", "other"]
-        )
-
-    sizes = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    n_toxic, n_other = (sizes[0] or 0), (sizes[1] - (sizes[0] or 0))
+                    (toxic if label[a + i] > 0 else other)[fold[a + i]].update(found)
+        for k in range(FOLDS):
+            terms = [t for t in toxic[k].keys() | other[k].keys() if t]
+            columns = [pa.array(terms, pa.string()), pa.array([k] * len(terms), pa.int32()), *(pa.array([c[k][t] for t in terms], pa.int64()) for c in (toxic, other))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "fold", "toxic", "other"])
+
+    own = {r["fold"]: (r["toxic"], r["n"] - r["toxic"]) for r in rows.groupBy("fold").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_other = (sum(x[k] for x in own.values()) for k in (0, 1))
     least = max(3, math.ceil(0.004 * n_toxic))
-    counted = batched(rows.select("text", "toxic")).mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / (n_other + 1.0))
-    found = counted.filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds > 2.5").orderBy(F.desc("odds"), F.desc("toxic"), "term").limit(MAX_TERMS)
-    return {r["term"]: r["odds"] for r in found.collect()}
+    counted = batched(rows.select("text", "toxic", "fold")).mapInArrow(count, "term string, fold int, toxic long, other long")
+    part = lambda c, k: F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
+    by_term = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), *(part(c, k) for k in range(FOLDS) for c in ("toxic", "other")))
+
+    def odds(k: int | None):
+        (t, o), (nt, no) = (own.get(k, (0, 0)), (n_toxic, n_other)) if k is not None else ((0, 0), (n_toxic, n_other))
+        toxic, other = F.col("toxic") - (F.col(f"toxic{k}") if k is not None else 0), F.col("other") - (F.col(f"other{k}") if k is not None else 0)
+        value = F.log((toxic + 0.5) / (nt - t + 1.0)) - F.log((other + 0.5) / (no - o + 1.0))
+        return F.when((toxic >= least) & (value > ODDS), value)
+
+    names = [*(f"odds{k}" for k in range(FOLDS)), "odds"]
+    table = by_term.filter(F.col("toxic") >= least).select("term", *(odds(k).alias(n) for k, n in zip([*range(FOLDS), None], names)))
+    terms = table.filter(F.coalesce(*names).isNotNull()).collect()
+    return [{r["term"]: r[n] for r in terms if r[n] is not None} for n in names]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_LABELLED) -> Model:
-    rows = materialize(training_rows(docs, labels, id_col, text_col, label_col, limit).dropDuplicates(["text"]), "labelled")
+    rows = materialize(training_rows(docs, labels, id_col, text_col, label_col, limit), "labelled")
     n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not toxic or toxic == n:
         return Model(constant=(toxic or 0.0) / max(n, 1))
-    split = n >= SPLIT_ROWS
-    learned = learn_lexicon(rows.filter("part < 4") if split else rows)
+    lexicons = learn_lexicons(rows)
 
     def measure(batches):
         for batch in batches:
-            x = features(text_column(batch.column(0)), learned)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "part"])
-
-    measured = batched((rows.filter("part >= 4") if split else rows).select("text", "toxic", "part")).mapInArrow(measure, "x array<double>, toxic double, part int")
+            texts, fold = text_column(batch.column(0)), batch.column(2).to_numpy()
+            x = np.zeros((len(texts), len(FEATURES)))
+            for k in np.unique(fold):
+                own = np.flatnonzero(fold == k)
+                x[own] = features(texts.take(pa.array(own)), lexicons[k])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "fold"])
+
+    measured = batched(rows.select("text", "toxic", "fold")).mapInArrow(measure, "x array<double>, toxic double, fold int")
     table = measured.toArrow()
-    x, y, part = np.array(table["x"].to_pylist()), table["toxic"].to_numpy(), table["part"].to_numpy()
-    order = np.lexsort((*x.T, y, part))  # the same trees in whatever order rows arrive
-    x, y, part = x[order], y[order], part[order]
-    grow, curve = (part < 7, part == 7) if split else (part >= 0, part >= 0)
-    trees, start = fit_trees(x[grow], y[grow])
-    steps = fit_isotonic(boosted(x[curve], trees, start), y[curve])
-    return Model(learn_lexicon(rows) if split else learned, trees, start, steps, None)
+    x, y, fold = np.array(table["x"].to_pylist()), table["toxic"].to_numpy(), table["fold"].to_numpy()
+    order = np.lexsort((*x.T, y, fold))  # the same trees in whatever order rows arrive
+    x, y, fold = x[order], y[order], fold[order]
+    margin = np.zeros(len(y))
+    for k in np.unique(fold):
+        grow = fold != k if (fold != k).any() else fold == k  # a single text has no other fold
+        margin[fold == k] = boosted(x[fold == k], *fit_trees(x[grow], y[grow]))
+    return Model(lexicons[-1], *fit_trees(x, y), fit_isotonic(margin, y), None)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -382,6 +382,85 @@ def test_toxicity_learns_and_holds_out(spark, no_docs):
     assert {r["score"] for r in toxicity.score(df, toxicity.fit(df, lab.filter("toxic = 9"))).collect()} == {0.0}
 
 
+def test_toxicity_ignores_the_order_of_rows(spark):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice([*VOCAB, "grumfink", "moron"]) for _ in range(12)) for _ in range(150)]
+    rows = [(i, rng.choice(texts)) for i in range(400)]  # texts under several ids, with labels that differ
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("toxic", "fold", "_id", "_toxic", "score", "term")})
+    labels = spark.createDataFrame([(i, rng.randrange(2) if rng.random() < 0.3 else int("grumfink" in t)) for i, t in rows], "doc_id long, toxic int")
+    found = []
+    for n in (1, 2, 3, 5, 7):
+        model = toxicity.fit(df.repartition(n, F.rand(n)), labels.repartition(n, F.rand(n)))
+        found.append({r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()})
+    assert all(x == found[0] for x in found) and len(set(found[0].values())) > 5
+
+
+def literal_features(text, learned):
+    """The features of one text, word by word."""
+    words = WORD.findall(text)
+    told = [toxicity.plain(w) for w in words]
+    weight = [max((learned.get(t, 0.0) for t in toxicity.terms_of(p)), default=0.0) for p, _ in told]
+    known = [p in toxicity.LEXICON for p, _ in told]
+    hit = [a or b > 0 for a, b in zip(known, weight)]
+    second = [p in toxicity.SECOND for p, _ in told]
+    n = max(len(words), 1)
+    near = sum(h and any(second[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, h in enumerate(hit))
+    signs = lambda chars: sum(w.count(c) for w in words for c in chars)
+    return [
+        100 * sum(known) / n, np.log1p(sum(known)), 100 * sum(hit) / n, np.log1p(sum(hit)), 100 * sum(weight) / n, max(weight, default=0.0), np.log1p(near),
+        100 * sum(second) / n, sum(len(w) > 1 and w.isupper() for w in words) / n, signs("!") / n, signs("#*$%&|<>") / n, signs(",.?") / n,
+        sum(o for _, o in told) / n, sum(o and h for (_, o), h in zip(told, hit)),
+    ]
+
+
+def test_toxicity_features_match_a_literal_model():
+    rng = random.Random(19)
+    pool = ["you", "YOU", "moron", "M0r0n!", "i.d.i.o.t", "stupid,", "fine", "grumfinken", "WOW!!", "a*b", "dich", "#tag", "?", "x"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 60))) for _ in range(40)] + ["", " ", "you " * 3000 + "idiot"]
+    learned = {"grumf*": 3.0, "fine": 2.7}
+    got = toxicity.features(pa.array(texts, pa.large_string()), learned)
+    assert np.allclose(got, [literal_features(t, learned) for t in texts])
+
+
+def test_trees_match_a_literal_search():
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 6, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+    trees, start = toxicity.fit_trees(x, y, n_trees=4, depth=2)
+    p0 = y.mean()
+    assert abs(start - np.log(p0 / (1 - p0))) < 1e-12
+    margin = np.full(60, start)
+    for tree, value in trees:
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, p * (1 - p)
+        gain = lambda own: g[own].sum() ** 2 / (h[own].sum() + 1.0)
+        node = np.zeros(60, int)
+        for at in range(3):
+            own = node == at
+            options = [
+                (gain(own & (x[:, f] <= c)) + gain(own & (x[:, f] > c)) - gain(own), f, c)
+                for f in range(3) for c in np.unique(x[:, f])[:-1] if (own & (x[:, f] <= c)).sum() >= 3 and (own & (x[:, f] > c)).sum() >= 3
+            ]
+            best = max((o[0] for o in options), default=0)
+            assert (at in tree) == (best > 1e-6)
+            if at in tree:
+                f, c = tree[at]
+                own_gain = gain(own & (x[:, f] <= c)) + gain(own & (x[:, f] > c)) - gain(own)
+                assert abs(own_gain - best) < 1e-9
+                node[own] = 2 * at + 1 + (x[own, f] > c)
+        for k in set(node):
+            assert abs(value[k] - 0.15 * g[node == k].sum() / (h[node == k].sum() + 1.0)) < 1e-9
+        margin = margin + value[node]
+    assert np.allclose(toxicity.boosted(x, trees, start), margin)
+
+
+def test_isotonic_blocks_are_the_least_squares_fit():
+    rng = np.random.default_rng(2)
+    x, y = np.sort(rng.normal(size=40)), rng.integers(0, 2, 40).astype(float)
+    fitted = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]  # max-min formula
+    at, value = toxicity.fit_isotonic(x, y)
+    assert np.allclose(sorted(set(np.round(fitted, 9))), np.round(value, 9))
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     x = rng.normal(size=400)
