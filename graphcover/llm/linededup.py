@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize, sweep
 from graphcover.llm.bitset import bitset, passes
-from graphcover.llm.words import batched, chunks, text_column
+from graphcover.llm.words import batched, chunks, free_prefix, text_column
 from graphcover.operators.components import linked_components
 
 TAU = 2
@@ -348,12 +348,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The documents without their removed lines, with all their columns; ``length_col`` is measured anew."""
-    gone = removed.filter(F.size("removed_lines") > 0).select(F.col(id_col).alias("_gone_id"), F.col("removed_lines").alias("_gone"))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    cut = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    new = {text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)}
+    x = free_prefix(docs)
+    at = F.col(f"`{x}gone`")
+    gone = removed.filter(F.size("removed_lines") > 0).select(F.col(id_col).alias(f"{x}id"), F.col("removed_lines").alias(f"{x}gone"))
+    left = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda line, i: ~F.array_contains(at, i)), "\n")
+    cut = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{x}id`")), "left")
+    new = {text_col: F.when(at.isNull(), F.col(f"`{text_col}`")).otherwise(left)}
     if length_col and length_col in docs.columns:
-        new[length_col] = F.when(F.col("_gone").isNull(), F.col(length_col)).otherwise(F.length(left).cast(docs.schema[length_col].dataType))
+        new[length_col] = F.when(at.isNull(), F.col(f"`{length_col}`")).otherwise(F.length(left).cast(docs.schema[length_col].dataType))
     return cut.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -8,27 +8,33 @@ one more repetition each, to its documents in seeded order. The document at whic
 they run out gives the fraction that is left, so a source's taken words differ
 from its target by rounding only.
 
-The running sum that finds this point never holds a source in one task: documents
-fall into hash buckets, the buckets' sums are added up per source (at most
-``BUCKETS`` rows each), and documents are ordered inside their bucket only.
-
-Null texts count no words; a null source is a source of its own, last in order.
-Empty tables give empty results. Rows that repeat are documents of their own. Only
-the named columns are read, so other columns may have any name.
+The running sum that finds this point never holds a source, or many equal rows, in one
+task: equal rows of a task are one row with a count, these fall into hash buckets, the
+buckets' sums are added up per source, and rows are ordered inside their bucket only.
+There are as many buckets as hold about ``BUCKET_ROWS`` rows each; since they follow the
+order itself, their number does not change the result.
+
+Null texts count no words; a null source is a source of its own, last in order, and a
+null id is an id. Empty tables give empty results. Rows that repeat are documents of
+their own: if the words run out among equal rows, as many of them are taken as fit, which
+of them being all the same. Texts of any length count whole. Only the named columns are
+read; others may have any name, but ``mix_repetition`` and ``mix_words`` are replaced in
+``mixed_documents``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize
-from graphcover.llm.words import WORD
+from graphcover.llm.words import WORD, free_prefix
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
-BUCKET_DIGITS = 3
-BUCKETS = 16**BUCKET_DIGITS
+BUCKET_ROWS = 50_000
 
 
 def word_count(text) -> F.Column:
@@ -75,11 +81,11 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 
 def _taken(docs: DataFrame, weights, id_col: str, text_col: str, source_col: str, max_epochs: int, seed: str) -> DataFrame:
-    """Every document's size, order, and whole and further words taken, with its source's target."""
+    """Equal rows of a task as one row with their number ``_n``: size, order, whole and further words taken, the source's target."""
     sized = materialize(
-        docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), _order(id_col, seed).alias("_order"))
+        docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), _order(F.col(id_col), seed).alias("_order"))
         .withColumn("_key", source_key(F.col("source")))
-        .withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)),
+        .withColumn("_part", F.spark_partition_id()),
         "sized",
     )
     sources = sized.groupBy("_key", "source").agg(F.sum("size").alias("source_size"))
@@ -97,17 +103,25 @@ def _taken(docs: DataFrame, weights, id_col: str, text_col: str, source_col: str
         .drop("source", "weight"),
         "targets",
     )
-    sums = sized.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
+    digits = max(1, math.ceil(math.log(max(sized.count() / BUCKET_ROWS, 1), 16)))
+    equal = sized.groupBy("_key", "source", "_order", "_id", "size", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.substring("_order", 1, digits))
+    equal = materialize(equal.withColumn("_words", F.col("size") * F.col("_n")), "equal")
+    sums = equal.groupBy("_key", "_bucket").agg(F.sum("_words").alias("_sum"))
     up_to = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_key", "_bucket", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
-    return sized.join(offsets, ["_key", "_bucket"]).withColumn("_before", before).join(plan, "_key").withColumn("_extra", extra.cast("long"))
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_order", "_id", "size", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_offset") + F.coalesce(F.sum("_words").over(inside), F.lit(0))
+    extra = F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_rest") - F.col("_before")))
+    return equal.join(offsets, ["_key", "_bucket"]).withColumn("_before", before).join(plan, "_key").withColumn("_extra", extra.cast("long"))
+
+
+def _shares(n, size, extra) -> F.Column:
+    """What each of ``n`` equal rows of ``size`` words gets of their ``extra`` words: whole rows first."""
+    return F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: F.greatest(F.lit(0).cast("long"), F.least(size, extra - (k - 1) * size)))
 
 
-def _order(id_col: str, seed: str) -> F.Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def _order(own, seed: str) -> F.Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(own.cast("string"), F.lit(""))))
 
 
 def mix(
@@ -125,7 +139,8 @@ def mix(
     weigh 1, 2, 3, 1, 2, 3 and so on. A source without a weight weighs nothing.
     """
     told = _taken(docs, weights, id_col, text_col, source_col, max_epochs, seed)
-    taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long").alias("taken")
+    told = told.withColumn("_share", F.explode(_shares(F.col("_n"), F.col("size"), F.col("_extra"))))
+    taken = (F.col("_whole") * F.col("size") + F.col("_share")).cast("long").alias("taken")
     return told.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", taken)
 
 
@@ -142,22 +157,43 @@ def mixed_documents(
 
     ``mix_repetition`` counts from 1, ``mix_words`` tells how many of its words the
     repetition gives: all of them but for the one document of a source at which its
-    words run out. Documents without words are in no mix. Documents find their repetitions by comparing themselves with that
-    document of their source, a row per source, so texts are not shuffled.
+    words run out. Documents without words are in no mix. Documents find their
+    repetitions by comparing themselves with that document of their source, a row per
+    source, so texts are not shuffled; only rows equal to it are counted, by all columns.
     """
     told = _taken(docs, weights, id_col, text_col, source_col, max_epochs, seed)
-    last = F.max(F.when(F.col("_extra") > 0, F.struct("_order", "_id", "size", "_extra")))
+    last = F.max(F.when(F.col("_extra") > 0, F.struct("_order", "_id", "size")))
     cuts = materialize(told.groupBy("_key").agg(F.first("_whole").alias("_whole"), last.alias("_last")), "cuts")
-    sized = docs.withColumns({"_key": source_key(F.col(source_col)), "_size": word_count(F.col(text_col)), "_order": _order(id_col, seed)})
-    at = sized.join(cuts, "_key")
-    own = F.struct(F.col("_order"), F.col(id_col), F.col("_size"))
-    cut = F.struct(F.col("_last._order"), F.col("_last._id").alias(id_col), F.col("_last.size").alias("_size"))
-    extra = F.when(F.col("_last").isNull() | (own > cut), F.lit(0)).when(own == cut, F.col("_last._extra")).otherwise(F.col("_size"))
-    n = (F.col("_whole") + F.when(extra > 0, 1).otherwise(0)).cast("int")
-    rows = at.withColumns({"_extra": extra, "_n": n}).filter("_n > 0").withColumn("mix_repetition", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    words = F.when(F.col("mix_repetition") <= F.col("_whole"), F.col("_size")).otherwise(F.col("_extra")).cast("long")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_repetition", "mix_words")]
-    return rows.filter("_size > 0").select(*kept, "mix_repetition", words.alias("mix_words"))
+    at_cut = told.drop("_whole").join(cuts, "_key").filter(F.struct("_order", "_id", "size").eqNullSafe(F.col("_last")))
+    given = materialize(at_cut.groupBy(F.col("_key").alias("_cut_key")).agg(F.sum("_extra").alias("_given")), "given")
+    x = free_prefix(docs)
+    at = lambda name: F.col(f"`{x}{name}`")
+    rows = cuts.join(given, cuts["_key"] == given["_cut_key"], "left").select(
+        F.col("_key").alias(f"{x}key"), F.col("_whole").alias(f"{x}whole"), F.col("_last._order").alias(f"{x}order"), F.col("_last._id").alias(f"{x}id"), F.col("_last.size").alias(f"{x}size"),
+        F.col("_last").isNotNull().alias(f"{x}cut"), "_given",
+    ).withColumnRenamed("_given", f"{x}given")
+    kept = [c for c in docs.columns if c.lower() not in ("mix_repetition", "mix_words")]
+    own = F.col(f"`{id_col}`")
+    slim = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumns({f"{x}source": source_key(F.col(f"`{source_col}`")), f"{x}words": word_count(F.col(f"`{text_col}`")), f"{x}place": _order(own, seed)})
+    told = slim.filter(at("words") > 0).join(rows, at("source") == at("key")).drop(f"{x}key", f"{x}source")
+    mine, cut = F.struct(at("place").alias("a"), own.alias("b"), at("words").alias("c")), F.struct(at("order").alias("a"), at("id").alias("b"), at("size").alias("c"))
+    equal = at("cut") & mine.eqNullSafe(cut)
+    gone = [f"{x}order", f"{x}id", f"{x}size", f"{x}cut", f"{x}place"]
+    plain = told.filter(~equal).withColumn(f"{x}extra", F.when(at("cut") & (mine < cut), at("words")).otherwise(F.lit(0).cast("long"))).drop(*gone, f"{x}given")
+    same = told.filter(equal).drop(*gone)
+    same = same.groupBy(*(F.col(f"`{c}`") for c in same.columns)).agg(F.count(F.lit(1)).alias(f"{x}n"))
+    # different rows of one id and size, if there are any, in an order of their own
+    turn = Window.partitionBy(at("place_key")).orderBy(at("hash")).rowsBetween(Window.unboundedPreceding, -1)
+    texts = [F.col(f"`{c}`").cast("string") for c in kept]
+    same = same.withColumns({f"{x}place_key": source_key(F.col(f"`{source_col}`")), f"{x}hash": F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("s"), t), F.lit("n")) for t in texts)), 256)})
+    left = at("given") - F.coalesce(F.sum(at("n") * at("words")).over(turn), F.lit(0))
+    same = same.withColumn(f"{x}left", left).withColumn(f"{x}extra", F.explode(_shares(at("n"), at("words"), at("left"))))
+    same = same.drop(f"{x}place_key", f"{x}hash", f"{x}left", f"{x}n", f"{x}given")
+    both = plain.unionByName(same)
+    times = (at("whole") + F.when(at("extra") > 0, 1).otherwise(0)).cast("int")
+    both = both.withColumn(f"{x}times", times).filter(at("times") > 0).withColumn(f"{x}turn", F.explode(F.sequence(F.lit(1), at("times"))))
+    words = F.when(at("turn") <= at("whole"), at("words")).otherwise(at("extra")).cast("long")
+    return both.select(*(F.col(f"`{c}`") for c in kept), at("turn").alias("mix_repetition"), words.alias("mix_words"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_prefix(df: DataFrame, wanted: str = "_") -> str:
+    """A beginning that no column of ``df`` has, for columns added to the caller's own."""
+    names = [c.lower() for c in df.columns]
+    while any(c.startswith(wanted) for c in names):
+        wanted += "_"
+    return wanted
+
+
 def text_column(column) -> pa.Array:
     """A column as one string array in which null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

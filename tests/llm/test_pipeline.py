@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,17 +59,49 @@ def test_stages(spark, corpus):
     clean = stages["benchmark decontamination"](spark, kept, at)
     assert clean.columns == columns and {r["doc_id"] for r in kept.collect()} - {r["doc_id"] for r in clean.collect()} == {17}
     mixed = stages["mixing sources"](spark, clean, at)
-    plan = {}
-    for r in corpus_pipeline.mixing.mix(clean.dropDuplicates(["doc_id"])).collect():
-        plan[r["doc_id"]] = r["taken"]
-    got = {}
-    for r in stages["mixing sources"](spark, clean.dropDuplicates(["doc_id"]), at).collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["mix_words"]
+    plan, got = Counter(), Counter()
+    for r in corpus_pipeline.mixing.mix(clean).collect():
+        plan[r["doc_id"]] += r["taken"]
+    for r in mixed.collect():
+        got[r["doc_id"]] += r["mix_words"]
         assert r["mix_words"] <= len(re.findall(r"\S+", r["text"] or ""))
-    assert got == {k: v for k, v in plan.items() if v}
+    assert got == +plan
     assert mixed.columns == [*columns, "mix_repetition", "mix_words"]
 
 
+@pytest.mark.parametrize("copies", [1, 2, 7])
+def test_mix_of_repeated_rows_and_clashing_names(spark, copies):
+    """Totals by id and source equal the plan's, wherever the words run out."""
+    rng = random.Random(copies)
+    rows = []
+    for i in range(40):
+        own = (i if i % 9 else None, line(rng, rng.randrange(0, 9)), f"s{i % 4}" if i % 4 else None)
+        rows += [own] * rng.randrange(1, copies + 1)
+    rows += [(3, line(rng, 5), "s3"), (3, line(rng, 5), "s3"), (50, None, "s1")]  # one id, two texts
+    names = ("_last", "_whole", "_size", "_n", "_extra", "_key", "_order", "__words", "_id", "size", "target", "mix_words", "Mix_Repetition")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in names}).repartition(3)
+    plan, got, size = Counter(), Counter(), Counter()
+    planned = corpus_pipeline.mixing.mix(df).collect()
+    assert len(planned) == len(rows)
+    for r in planned:
+        plan[r["doc_id"], r["source"]] += r["taken"]
+        size[r["source"]] += r["size"]
+    mixed = corpus_pipeline.mixing.mixed_documents(df)
+    assert mixed.columns == [c for c in df.columns if c.lower() not in ("mix_words", "mix_repetition")] + ["mix_repetition", "mix_words"]
+    for r in mixed.collect():
+        assert r["_size"] == r["_n"] == r["__words"] == "clash"
+        got[r["doc_id"], r["source"]] += r["mix_words"]
+    assert got == +plan and sum(size.values()) - 3 < sum(got.values()) < sum(size.values()) + 3
+
+
+def test_dropping_lines_keeps_clashing_columns(spark):
+    rows = [(1, "a line of more than thirty-two characters\nx", 0), (2, "a line of more than thirty-two characters\ny", 0), (None, "a line of more than thirty-two characters", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({c: F.lit("clash") for c in ("_gone", "_gone_id", "_id", "removed_lines", "id", "line_no", "__gone")})
+    out = linededup.drop_lines(df, linededup.repeated_lines(df))
+    assert out.columns == df.columns
+    assert {r["doc_id"]: (r["text"], r["_gone"], r["__gone"]) for r in out.collect()} == {1: ("x", "clash", "clash"), 2: ("y", "clash", "clash"), None: (rows[0][1][:-2], "clash", "clash")}
+
+
 def test_run_is_the_stages_in_turn(spark, corpus):
     at, _, toxic = corpus
     rows = corpus_pipeline.run(spark, at).collect()
