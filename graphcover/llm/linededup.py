@@ -3,11 +3,11 @@
 Two lines at most ``TAU`` edits apart share one of the ``TAU + 1`` even segments of
 the shorter line, at a place that the lengths confine to a few offsets. So a line is
 indexed under (its length, segment number, segment) and probes, for its own and up to
-``TAU`` shorter lengths, the substrings at those offsets. Only keys travel at first:
-a bucket counts if an indexed and another line meet there, and the texts of the lines
-in such buckets follow; a bitset of their ids, of one size whatever the corpus,
-keeps most other texts from being shuffled. A banded bit-parallel automaton verifies
-each pair.
+``TAU`` shorter lengths, the substrings at those offsets. Only keys travel at first, and
+tasks combine equal ones: a bucket counts if an indexed and another line meet there. In
+a second pass the lines of such buckets come, in a third their texts; bitsets of the
+keys and of the lines' ids, of one size whatever the corpus, keep most others from being
+shuffled. A banded bit-parallel automaton verifies each pair.
 
 Equal lines are one line from the start (a 128-bit digest), so repeats are never
 paired. A bucket of more than ``GROUP`` lines is dealt out as pairs of blocks, each a
@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize, sweep
@@ -42,6 +42,9 @@ TAU = 2
 MIN_CHARS = 32
 GROUP = 512
 CHUNK_BYTES = 2 << 20
+LONG = 1 << 20
+_BASE, _LENGTH, _NUMBER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_INVERSE, _SHIFT = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), np.uint64(31)
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -63,21 +66,78 @@ def offsets(i: int, start: int, size: int, length: int, delta: int, tau: int = T
     return range(low, high + 1)
 
 
-def _key(length: int, i: int, part: str) -> int:
-    return xxhash.xxh64_intdigest(f"{length}|{i}|{part}".encode("utf-8", "surrogatepass"))
+def _mixed(part, length, i):
+    """A bucket's key from the hash of a segment, the indexed line's length and the segment's number."""
+    x = part + length * _LENGTH + i * _NUMBER
+    x = (x ^ (x >> _SHIFT)) * _BASE
+    return x ^ (x >> _SHIFT)
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _hash(points: np.ndarray) -> np.uint64:
+    """The sum of (point + 1) BASE**place modulo 2**64, some of the points at a time."""
+    total, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    powers = _powers(min(len(points), LONG) + 1, _BASE)
+    for at in range(0, len(points), LONG):
+        some = points[at : at + LONG].astype(np.uint64) + np.uint64(1)
+        total += factor * np.sum(some * powers[: len(some)], dtype=np.uint64)
+        factor *= powers[len(some)] if len(some) < len(powers) else np.uint64(0)
+    return total
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def keys_of(line: str, tau: int = TAU, least: int = MIN_CHARS) -> dict[int, bool]:
-    """The line's keys; true for those under which it is indexed."""
-    n, out = len(line), {}
+def _key(length: int, i: int, part: str) -> int:
+    return int(_mixed(_hash(_points(part)), np.array([length], np.uint64), np.uint64(i)).view(np.int64)[0])
+
+
+def keys_of(lines: list[str], tau: int = TAU, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' keys: number of the line, key, and whether it is indexed under it. A line may have a key twice."""
+    found = []
+    brief = [k for k, x in enumerate(lines) if len(x) <= LONG]
+    if brief:
+        points = _points("".join(lines[k] for k in brief))
+        n = np.array([len(lines[k]) for k in brief], np.int64)
+        begin = np.cumsum(n) - n
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers(len(points), _BASE), dtype=np.uint64)])
+        back = _powers(len(points) + 1, _INVERSE)
+        number = np.array(brief)
+        for delta, i, at, length, size, indexed, rows in _places(n, tau, least):
+            low = begin[rows] + at
+            part = (upto[low + size] - upto[low]) * back[low]
+            found.append((number[rows], _mixed(part, length.astype(np.uint64), np.uint64(i)).view(np.int64), indexed))
+    for k, line in enumerate(lines):
+        if len(line) > LONG:
+            for delta, i, at, length, size, indexed, rows in _places(np.array([len(line)]), tau, least):
+                if len(rows):
+                    key = _key(int(length[0]), i, line[int(at[0]) : int(at[0] + size[0])])
+                    found.append((np.array([k]), np.array([key]), indexed))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _places(n: np.ndarray, tau: int, least: int):
+    """What ``segments`` and ``offsets`` say for lines of ``n`` characters, all lines at once."""
     for delta in range(tau + 1):
-        if n - delta < least:
-            break
-        for i, (start, size) in enumerate(segments(n - delta, tau)):
-            for at in offsets(i, start, size, n, delta, tau):
-                key = _key(n - delta, i, line[at : at + size])
-                out[key] = out.get(key, False) or (delta == 0 and at == start)
-    return out
+        length = n - delta
+        size, longer = np.divmod(np.maximum(length, 0), tau + 1)
+        for i in range(tau + 1):
+            start = i * size + np.maximum(0, i - (tau + 1 - longer))
+            own = size + (i > tau - longer)
+            low = np.maximum(np.maximum(0, start - i), start + delta - (tau - i))
+            high = np.minimum(np.minimum(n - own, start + i), start + delta + (tau - i))
+            for step in range(2 * tau + 1):
+                rows = np.flatnonzero((length >= least) & (low + step <= high))
+                at = (low + step)[rows]
+                yield delta, i, at, length[rows], own[rows], (at == start[rows]) & (delta == 0), rows
 
 
 def within(a: str, b: str, tau: int = TAU) -> bool:
@@ -160,29 +220,24 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CH
     return materialize(batched(slim).mapInArrow(run, f"id {kind}, line_no int, high long, low long"), "occurrences")
 
 
-def _distinct(docs: DataFrame, text_col: str, least: int, rows_of, schema: str, types: list) -> DataFrame:
-    """What ``rows_of`` makes of each line, once for a batch of documents."""
+def _distinct(docs: DataFrame, text_col: str, least: int, batch_of, schema: str) -> DataFrame:
+    """What ``batch_of`` makes of the lines of a chunk, each line once for a batch of documents."""
 
     def run(batches):
         for batch in batches:
             seen = set()
             for found in _lines(batch.column(0), least):
-                rows = []
+                lines = []
                 for _, _, line in found:
                     own = xxhash.xxh3_128_digest(line.encode())
                     if own not in seen:
                         seen.add(own)
-                        rows.extend(rows_of(line))
-                columns = list(zip(*rows)) or [()] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in schema.split(", ")])
+                        lines.append(line)
+                yield batch_of(lines)
 
     return batched(docs.select(text_col)).mapInArrow(run, schema)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 class Group:
     """Lines of one bucket, or of two blocks of a large one."""
 
@@ -233,7 +288,7 @@ class Group:
         for line, (indexed, _) in self.rows.items():
             if indexed:
                 for i, (start, size) in enumerate(segments(len(line), self.tau)):
-                    if _signed(_key(len(line), i, line[start : start + size])) == key:
+                    if _key(len(line), i, line[start : start + size]) == key:
                         self.segment = i
                         return
         self.segment = -1
@@ -243,32 +298,35 @@ def line_links(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
     """``src, dst, partners``: links between different lines, and rows without ``dst`` that count a line's partners."""
     spark = docs.sparkSession
 
-    def keyed(line):
-        own = digest(line)[0]
-        return [(_signed(k), own, indexed) for k, indexed in keys_of(line, tau, least).items()]
-
-    met = Window.partitionBy("key")
-    keys = _distinct(docs, text_col, least, keyed, "key long, id long, indexed boolean", [pa.int64(), pa.int64(), pa.bool_()])
-    active = (
-        keys.withColumn("_low", F.min("id").over(met))
-        .withColumn("_high", F.max("id").over(met))
-        .withColumn("_any", F.max("indexed").over(met))
-        .filter("_any AND _low <> _high")
-        .select("key", "id", "indexed")
-    )
-    active = materialize(active, "buckets")
+    def keyed(wanted):
+        def batch_of(lines):
+            row, key, indexed = keys_of(lines, tau, least)
+            if wanted is not None:
+                some = passes(wanted.value, key)
+                row, key, indexed = row[some], key[some], indexed[some]
+            own = np.array([digest(x)[0] for x in lines], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own[row], pa.int64()), pa.array(indexed, pa.bool_())], ["key", "id", "indexed"])
+
+        return _distinct(docs, text_col, least, batch_of, "key long, id long, indexed boolean")
+
+    ends = keyed(None).groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.max("indexed").alias("_any"))
+    met = materialize(ends.filter("_any AND _low <> _high").select("key"), "met")
     sweep(spark)
-    active = active.groupBy("key", "id").agg(F.max("indexed").alias("indexed"))
-    active = materialize(active, "buckets")
+    bits = spark.sparkContext.broadcast(bitset(met.withColumnRenamed("key", "id")))
+    active = materialize(keyed(bits).join(met, "key", "left_semi"), "buckets")
+    active = materialize(active.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "buckets")
+    bits.unpersist()
     sizes = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "sizes")
     wanted = materialize(active.select("id").distinct(), "wanted")
-    bits = spark.sparkContext.broadcast(bitset(wanted))
+    likely = spark.sparkContext.broadcast(bitset(wanted))
 
-    def texted(line):
-        own = digest(line)[0]
-        return [(own, line)] if passes(bits.value, np.array([own]))[0] else []
+    def texted(lines):
+        own = np.array([digest(x)[0] for x in lines], np.int64)
+        some = np.flatnonzero(passes(likely.value, own))
+        return pa.RecordBatch.from_arrays([pa.array(own[some], pa.int64()), pa.array([lines[k] for k in some], pa.string())], ["id", "line"])
 
-    texts = _distinct(docs, text_col, least, texted, "id long, line string", [pa.int64(), pa.string()])
+    texts = _distinct(docs, text_col, least, texted, "id long, line string")
     texts = materialize(texts.join(wanted, "id", "left_semi").distinct(), "lines")
     sweep(spark)
     # a line of block r of n meets every block: groups (r, j) and (j, r), smaller block first

@@ -315,6 +315,24 @@ def test_edit_automaton():
             assert linededup.within(a, b, tau) == (edit_distance(a, b) <= tau), (a, b, tau)
 
 
+def test_line_keys(monkeypatch):
+    rng = random.Random(14)
+    lines = ["".join(rng.choice("abé𝄞") for _ in range(n)) for n in [*range(30, 70), 200]] + ["a" * 40]
+    for long in (linededup.LONG, 50):
+        monkeypatch.setattr(linededup, "LONG", long)
+        for tau in (1, 2, 3):
+            want = set()
+            for k, x in enumerate(lines):
+                for delta in range(tau + 1):
+                    if len(x) - delta >= linededup.MIN_CHARS:
+                        for i, (start, size) in enumerate(linededup.segments(len(x) - delta, tau)):
+                            for at in linededup.offsets(i, start, size, len(x), delta, tau):
+                                want.add((k, linededup._key(len(x) - delta, i, x[at : at + size]), delta == 0 and at == start))
+            got = {(int(a), int(b), bool(c)) for a, b, c in zip(*linededup.keys_of(lines, tau))}
+            assert got == want
+    assert len(linededup._hash(linededup._points("x" * 120))) == 1 and linededup._key(9, 1, "ab") != linededup._key(9, 1, "ba")
+
+
 def test_line_dedup(spark, no_docs, monkeypatch):
     rng = random.Random(4)
     seeds = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(30, 60))).strip() for _ in range(12)]
