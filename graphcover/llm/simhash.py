@@ -14,7 +14,8 @@ one fingerprint from the start and are never paired.
 Null and empty texts have fingerprint zero and are linked like any other; a text with
 fewer words than a shingle is one shingle; repeated rows share a component; rows with
 a null id take part through their fingerprint's other rows and else stay alone with a
-null component; empty tables give empty results. Only id and text are read.
+null component; empty tables give empty results; texts of any length count whole, some
+shingles at a time. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ def _majority(hashes: np.ndarray) -> int:
     """Bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -102,22 +105,11 @@ def links(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``id, fp, component_id``: the smallest id that links lead to, one row per document."""
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = marked.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    reps = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("rep")), "representatives")
     joined = linked_components(links(reps.filter("rep IS NOT NULL"), radius))
     classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(classes, "fp").select(id_col, "fp", "component_id")
-
-
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that share an id, one."""
-    found = materialize(near_duplicates(docs, id_col, text_col, radius, shingle), "components")
-    gone = materialize(found.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    again = materialize(found.groupBy(F.col(id_col).alias("_again")).count().filter("count > 1 AND _again IS NOT NULL").select("_again"), "again")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[id_col] == again["_again"], "left_anti")
-    return once.unionByName(kept.join(again, kept[id_col] == again["_again"], "left_semi").dropDuplicates([id_col]))
+    # written first, so that the join is one of two plain shuffles, whose hot fingerprints Spark can split
+    return marked.join(materialize(classes, "classes"), "fp").select(id_col, "fp", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -123,6 +123,7 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     told = materialize(pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")), "digests")
     groups = told.filter(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    groups = materialize(groups, "payloads")  # so that the join is of two plain shuffles, whose hot payloads Spark can split
     found = told.join(groups, "digest").filter(~F.col("id").eqNullSafe(F.col("first")))
     return materialize(found.select("id", "digest", F.col("first").alias("refers_to")), "revisits")
 
