@@ -20,9 +20,11 @@ are repeated lines. Lines are taken without the blanks at their ends; those unde
 ``MIN_CHARS`` characters take no part in the edit join. With ``short`` their exact
 repeats count all the same, blank lines aside; without it they stay.
 
-Defined results: null and empty texts have no lines; rows that share an id are one
-document, so a row's exact repeat removes nothing; a null id sorts first; empty tables
-give empty results. Lines of any length are compared whole. Only id and text are read.
+Defined results: null and empty texts have no lines; rows with the same id and text are
+one document, so a row's exact repeat removes nothing, while rows that share an id only
+are documents of their own, told apart by ``text_hash``; a null id sorts first; empty
+tables give empty results. Lines of any length are compared whole. Only id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -204,9 +206,13 @@ def _lines(column, least: int):
         yield found
 
 
+def text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.col(f"`{text_col}`"))
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> DataFrame:
-    """``id, line_no, high, low`` of every compared line."""
-    slim = docs.select(F.col(id_col).alias("id"), text_col)
+    """``id, line_no, high, low`` of every compared line; ``id`` is the document's id with a hash of its text."""
+    slim = docs.select(F.struct(F.col(id_col).alias("doc"), text_hash(text_col).alias("hash")).alias("id"), text_col)
     kind = slim.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -372,7 +378,7 @@ def line_links(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """One row per document with compared lines: ``id, n_lines, n_links, removed_lines, first_docs``.
+    """One row per document with compared lines: ``id, text_hash, n_lines, n_links, removed_lines, first_docs``.
 
     With ``short`` lines under ``least`` characters are compared too, for equality only.
 
@@ -392,15 +398,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # written first, so that the join below is one of two plain shuffles, whose hot classes Spark can split
     twice = lines.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("class", "first")
     twice = materialize(twice, "repeated")
-    repeats = lines.join(twice, "class").filter(place != F.col("first")).select("id", F.struct("line_no", F.col("first.id").alias("doc")).alias("hit"))
+    repeats = lines.join(twice, "class").filter(place != F.col("first")).select("id", F.struct("line_no", F.col("first.id.doc").alias("doc")).alias("hit"))
     removed = repeats.groupBy("id").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
     own = lines.groupBy("id").agg(F.collect_set(F.struct("line_no", "partners")).alias("own"))
     total = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["partners"])
     totals = own.select("id", F.size("own").cast("long").alias("n_lines"), total.alias("n_links"))
     none = F.array().cast(removed.schema["hits"].dataType)
     hits = F.coalesce("hits", none)
-    return totals.join(removed, totals["id"].eqNullSafe(removed["id"]), "left").select(
-        totals["id"].alias(id_col), "n_lines", "n_links", F.transform(hits, lambda x: x["line_no"]).alias("removed_lines"), F.transform(hits, lambda x: x["doc"]).alias("first_docs")
+    return totals.join(removed, totals["id"] == removed["id"], "left").select(
+        totals["id.doc"].alias(id_col), totals["id.hash"].alias("text_hash"), "n_lines", "n_links", F.transform(hits, lambda x: x["line_no"]).alias("removed_lines"), F.transform(hits, lambda x: x["doc"]).alias("first_docs")
     )
 
 
@@ -408,9 +414,10 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
     """The documents without their removed lines, with all their columns; ``length_col`` is measured anew."""
     x = free_prefix(docs)
     at = F.col(f"`{x}gone`")
-    gone = removed.filter(F.size("removed_lines") > 0).select(F.col(id_col).alias(f"{x}id"), F.col("removed_lines").alias(f"{x}gone"))
+    gone = removed.filter(F.size("removed_lines") > 0).select(F.col(id_col).alias(f"{x}id"), F.col("text_hash").alias(f"{x}hash"), F.col("removed_lines").alias(f"{x}gone"))
     left = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda line, i: ~F.array_contains(at, i)), "\n")
-    cut = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{x}id`")), "left")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{x}id`")) & (text_hash(text_col) == F.col(f"`{x}hash`"))
+    cut = docs.join(gone, same, "left")
     new = {text_col: F.when(at.isNull(), F.col(f"`{text_col}`")).otherwise(left)}
     if length_col and length_col in docs.columns:
         new[length_col] = F.when(at.isNull(), F.col(f"`{length_col}`")).otherwise(F.length(left).cast(docs.schema[length_col].dataType))
@@ -419,8 +426,10 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
 
 def op6_linededup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = repeated_lines(docs, short=True)
-    return docs.select("doc_id").distinct().join(found, "doc_id", "left").select(
+    found = repeated_lines(docs, short=True).withColumnRenamed("doc_id", "_doc")
+    each = docs.select("doc_id", text_hash("text").alias("_hash")).distinct()
+    same = each["doc_id"].eqNullSafe(found["_doc"]) & (each["_hash"] == found["text_hash"])
+    return each.join(found, same, "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"),
     )
