@@ -5,27 +5,31 @@ the postings of some megabytes of documents, sorted by term, as delta-coded blob
 Segments are Parquet rows in the shared folder, so a lost task is built again alone
 and a segment never grows with the corpus.
 
-``search_windows`` sends the benchmark's windows to every segment. A window's terms
-are taken from the segment's rarest upwards: the rarest list, moved back by the term's
-place in the window, gives the candidate starts, and each further list keeps those
-that it has as well. A window with a term that the segment lacks costs one lookup.
-``search_near`` returns places where all terms of a query stand within a span.
-
-The windows go out in blocks of at most ``BLOCK_WORDS`` words, which bounds what is
-broadcast however large the benchmark is; hits of several blocks are merged per
-document. Documents are never shuffled.
+``search_windows`` sends the benchmark's windows to every segment, as numbers of their
+different terms. The segment's vocabulary is intersected with these terms first, so a
+window with a term that the segment lacks costs no look at a list. The others are
+resolved from the segment's rarest term upwards: the rarest list, moved back by the
+term's place in the window, gives the candidate starts, and each further list keeps
+those that it has as well. ``search_near`` returns places where all terms of a query
+stand within a span.
+
+The windows go out in blocks of at most ``BLOCK_WINDOWS``, which bounds what is broadcast
+however large the benchmark or an item of it is; a block's hits are written, only those
+of hit documents, before the next one goes out. Documents are never shuffled.
 
 Defined results: null and empty texts have no words, get zeros and no items; an item
 without words has no window; an item with fewer words than the window is one window;
 items with a null id hit words but are in no id list; repeated items count once per
-id; repeated documents give repeated rows; either table may be empty.
+id; repeated documents give repeated rows; overlapping and touching windows cover each
+word once; texts of any length are indexed whole; only id and text are read, so other
+columns may have any name; either table may be empty. ``drop_contaminated`` decides each
+row by its own id and text, so rows that share an id, or have none, are not drawn in.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize
-from graphcover.llm.words import ALNUM, batched, chunks, mapped, split_words, text_column
+from graphcover.llm.words import ALNUM, batched, chunks, free_prefix, mapped, split_words, text_column
 
 WINDOW = 10
-BLOCK_WORDS = 500_000
+BLOCK_WINDOWS = 200_000
 SEGMENT_BYTES = 8 << 20
 
 _SEGMENT = "segment string, doc_ids array<{kind}>, doc_words array<int>, terms binary, term_counts binary, postings binary"
@@ -83,6 +87,19 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialize(batched(slim).mapInArrow(build, _SEGMENT.format(kind=kind)), "index")
 
 
+class Windows:
+    """Different windows as rows of term numbers, filled up at the end, and the ids of the items that have each."""
+
+    def __init__(self, found: dict[tuple[str, ...], set]):
+        self.terms = sorted({t for w in found for t in w})
+        number = {t: k for k, t in enumerate(self.terms)}
+        self.sizes = [len(w) for w in found]
+        self.rows = np.full((len(found), max(self.sizes, default=1)), len(self.terms), np.int32)
+        for k, w in enumerate(found):
+            self.rows[k, : len(w)] = [number[t] for t in w]
+        self.items = list(found.values())
+
+
 class Segment:
     """Postings of one segment; positions count all words of its documents."""
 
@@ -95,6 +112,7 @@ class Segment:
         self.place = {t: i for i, t in enumerate(raw.split("\n"))} if raw else {}
         counts = _unpack(term_counts, np.int32).astype(np.int64)
         self.bounds = np.concatenate(([0], np.cumsum(counts)))
+        self.counts = counts
         self.order = np.cumsum(_unpack(postings, np.int32), dtype=np.int64)
 
     def positions(self, term: str) -> np.ndarray:
@@ -104,14 +122,10 @@ class Segment:
     def document(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, "right") - 1
 
-    def phrase(self, terms: tuple[str, ...]) -> np.ndarray:
-        """Starts of the phrase, intersected from its rarest term upwards."""
-        at = [self.place.get(t) for t in terms]
-        if None in at:
-            return self.order[:0]
-        by_size = sorted(range(len(at)), key=lambda i: self.bounds[at[i] + 1] - self.bounds[at[i]])
+    def phrase(self, at: np.ndarray) -> np.ndarray:
+        """Starts of the phrase of these term numbers, intersected from its rarest term upwards."""
         found = None
-        for i in by_size:
+        for i in np.argsort(self.counts[at], kind="stable").tolist():
             moved = self.order[self.bounds[at[i]] : self.bounds[at[i] + 1]]
             if found is None:
                 found = moved - i
@@ -121,7 +135,18 @@ class Segment:
                 found = found[moved[spot] == found + i]
             if not len(found):
                 return found
-        return found[self.document(found) == self.document(found + len(terms) - 1)]
+        found = found[found + len(at) <= len(self.order)]
+        return found[self.document(found) == self.document(found + len(at) - 1)]
+
+    def phrases(self, windows: Windows):
+        """``window, starts`` of the windows that occur here."""
+        here = np.array([self.place.get(t, -1) for t in windows.terms] + [0], np.int64)
+        held = here >= 0
+        held[-1] = True  # the filler of short windows
+        for k in np.flatnonzero(held[windows.rows].all(axis=1)).tolist():
+            found = self.phrase(here[windows.rows[k, : windows.sizes[k]]])
+            if len(found):
+                yield k, found
 
     def near(self, terms: tuple[str, ...], span: int) -> np.ndarray:
         """Positions of the rarest term that have all terms within ``span`` words, in one document."""
@@ -148,59 +173,56 @@ def segments(batches):
             yield Segment(**row), batch.schema.field("doc_ids").type.value_type
 
 
-def item_windows(items: list[tuple[object, list[str]]], window: int = WINDOW) -> dict[tuple[str, ...], set]:
-    """Distinct windows of the items, and the ids of the items that have them."""
-    found: dict[tuple[str, ...], set] = {}
-    for item, words in items:
+def window_blocks(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_WINDOWS):
+    """At most ``limit`` different windows at a time, with the ids of the items that have them."""
+    block: dict[tuple[str, ...], set] = {}
+    for row in items.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
+        words = split_words(mapped(text_column(pa.array([row[1]], pa.string())), ALNUM))[0].to_pylist()
         for i in range(max(len(words) - window, 0) + 1 if words else 0):
-            found.setdefault(tuple(words[i : i + window]), set()).add(item)
-    return found
-
-
-def benchmark_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_WORDS):
-    """Lists of ``(id, words)``, each of about ``limit`` words; one block is on the driver at a time."""
-    slim = items.select(F.col(id_col).cast("string"), text_col)
-    block, size = [], 0
-    for row in slim.toLocalIterator():
-        words, _ = split_words(mapped(text_column(pa.array([row[1]], pa.string())), ALNUM))
-        block.append((row[0], words.to_pylist()))
-        size += len(words)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    yield block
+            block.setdefault(tuple(words[i : i + window]), set()).add(row[0])
+            if len(block) >= limit:
+                yield Windows(block)
+                block = {}
+    if block:
+        yield Windows(block)
 
 
-def search_windows(index: DataFrame, windows: dict[tuple[str, ...], set], id_col: str = "doc_id") -> DataFrame:
-    """``id, row, n_words, spans, items`` for each document: hit word ranges ``[from, to)`` and item ids."""
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    sent = index.sparkSession.sparkContext.broadcast(list(windows.items()))
+def search_windows(index: DataFrame, windows: Windows) -> DataFrame:
+    """``row, spans, items`` of each hit document: hit word ranges ``[from, to)`` and item ids."""
+    sent = index.sparkSession.sparkContext.broadcast(windows)
 
     def search(batches):
-        for seg, ids_type in segments(batches):
-            spans: list[list] = [[] for _ in seg.words]
-            items: list[set] = [set() for _ in seg.words]
-            for terms, ids in sent.value:
-                found = seg.phrase(terms)
+        for seg, _ in segments(batches):
+            spans: dict[int, list] = {}
+            items: dict[int, set] = {}
+            for k, found in seg.phrases(sent.value):
                 for doc, at in zip(seg.document(found).tolist(), found.tolist()):
                     at -= int(seg.starts[doc])
-                    last = spans[doc][-1] if spans[doc] else None
-                    if last and last[0] <= at <= last[1]:
-                        last[1] = max(last[1], at + len(terms))
-                    else:
-                        spans[doc].append([at, at + len(terms)])
-                    items[doc] |= ids
+                    spans.setdefault(doc, []).append([at, at + sent.value.sizes[k]])
+                    items.setdefault(doc, set()).update(sent.value.items[k])
+            docs = sorted(spans)
             yield pa.RecordBatch.from_pydict(
                 {
-                    id_col: pa.array(seg.doc_ids, ids_type),
-                    "row": pa.array([f"{seg.name}-{i}" for i in range(len(seg.words))], pa.string()),
-                    "n_words": pa.array(seg.words),
-                    "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                    "items": pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
+                    "row": pa.array([f"{seg.name}-{i}" for i in docs], pa.string()),
+                    "spans": pa.array([_joined(spans[i]) for i in docs], pa.list_(pa.list_(pa.int64()))),
+                    "items": pa.array([sorted(items[i] - {None}) for i in docs], pa.list_(pa.string())),
                 }
             )
 
-    return batched(index).mapInArrow(search, f"`{id_col}` {kind}, row string, n_words long, spans array<array<long>>, items array<string>")
+    found = materialize(batched(index).mapInArrow(search, "row string, spans array<array<long>>, items array<string>"), "hits")
+    sent.destroy()
+    return found
+
+
+def _joined(spans) -> list[list[int]]:
+    """The ranges' union, as ranges that neither overlap nor touch."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def search_near(index: DataFrame, queries: list[tuple[str, ...]], span: int, id_col: str = "doc_id") -> DataFrame:
@@ -222,45 +244,40 @@ def search_near(index: DataFrame, queries: list[tuple[str, ...]], span: int, id_
     return batched(index).mapInArrow(search, f"`{id_col}` {kind}, query long, position long")
 
 
-def covered(spans) -> int:
-    """Words inside any of the ranges."""
-    total, end = 0, -1
-    for a, b in sorted(map(tuple, spans)):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``id, n_words, n_hit, n_items, items, items_sha256`` for every document."""
     index = build_index(docs, id_col, text_col)
-    parts = [search_windows(index, item_windows(b, window), id_col) for b in benchmark_blocks(items, item_col)]
-    found = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:  # a document's hits in several blocks
-        found = found.groupBy("row", id_col, "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    found = docs.sparkSession.createDataFrame([], "row string, spans array<array<long>>, items array<string>")
+    for windows in window_blocks(items, window, item_col):
+        found = found.unionByName(search_windows(index, windows))
+    # a document's hits in several blocks
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def digest(batches):
         for batch in batches:
-            ids, words, spans, items = (batch.column(batch.schema.get_field_index(c)) for c in (id_col, "n_words", "spans", "items"))
-            listed = [sorted(x) for x in items.to_pylist()]
-            hit = [covered(x) for x in spans.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, words, pa.array(hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()),
-                ],
-                [id_col, "n_words", "n_hit", "n_items", "items", "items_sha256"],
-            )
+            listed = [sorted(x) for x in batch.column(2).to_pylist()]
+            hit = [sum(b - a for a, b in _joined(x)) for x in batch.column(1).to_pylist()]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit, pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(digests, pa.string())], ["_row", "n_hit", "items", "items_sha256"])
 
-    return found.mapInArrow(digest, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string")
+    told = materialize(batched(found).mapInArrow(digest, "_row string, n_hit long, items array<string>, items_sha256 string"), "hits")
+    each = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("pos", "doc"))
+    each = each.select(F.col("doc.doc_ids").alias(id_col), F.col("doc.doc_words").cast("long").alias("n_words"), F.concat_ws("-", "segment", F.col("pos").cast("string")).alias("_at"))
+    none = F.array().cast("array<string>")
+    return each.join(told, each["_at"] == told["_row"], "left").select(
+        id_col, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.coalesce("items", none).alias("items"), F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a hit, with all their columns."""
-    found = contamination(docs, items, window, id_col, text_col)
-    gone = materialize(found.filter("n_hit > 0").select(F.col(id_col).alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    x = free_prefix(docs)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key = F.xxhash64(own, text, own.isNull(), text.isNull())
+    found = contamination(docs.select(key.alias("key"), text.alias("text")), items, window, "key", "text")
+    gone = materialize(found.filter("n_hit > 0").select(F.col("key").alias(f"{x}gone")).distinct(), "contaminated")
+    return docs.join(gone, key == F.col(f"`{x}gone`"), "left_anti")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -554,16 +554,21 @@ def test_decontamination(spark, odd_texts, no_docs, monkeypatch):
     source = re.sub(r"\s+", " ", odd_texts[4] * 3)
     items = [(i, text_of(rng, rng.randrange(0, 30))) for i in range(8)]
     items += [(100, source[:200]), (101, "straße The"), (102, None), (103, "!!"), (9, "w1, W2!"), (9, "w3 w4"), (104, " ".join(["w1"] * 12))]
-    texts = [t for t in odd_texts if len(t or "") < 5000] + [source, "x " + items[0][1] + " y", "w1 " * 30]
+    texts = odd_texts + [odd_texts[39] + " " + items[3][1]] + [source, "x " + items[0][1] + " y", "w1 " * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute_contamination(t, items) for i, t in enumerate(texts)}
-    for block in (decontam.BLOCK_WORDS, 15):
-        monkeypatch.setattr(decontam.benchmark_blocks, "__defaults__", ("item_id", "text", block))
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontam.contamination(df, bench).collect()}
-        assert got == want
+    df = df.unionByName(df.filter("doc_id = 4")).withColumns({c: F.lit("clash") for c in ("row", "segment", "n_words", "items", "_row", "_at", "key")})
+    for block in (decontam.BLOCK_WINDOWS, 15):
+        monkeypatch.setattr(decontam.window_blocks, "__defaults__", (10, "item_id", "text", block))
+        rows = decontam.contamination(df, bench).collect()
+        assert len(rows) == len(texts) + 1
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows} == want
     assert decontam.contamination(no_docs, bench).count() == 0
     assert all(r["n_hit"] == 0 for r in decontam.contamination(df, bench.filter("item_id < 0")).collect())
+    some = df.filter("doc_id IN (4, 5, 6)").withColumn("doc_id", F.lit(None).cast("long"))  # null ids are decided each by its text
+    left = decontam.drop_contaminated(some, bench)
+    assert left.columns == some.columns and Counter(r["text"] for r in left.collect()) == Counter(texts[i] for i in (4, 4, 5, 6) if not want[i][1])
 
 
 def test_near(spark):
