@@ -72,36 +72,72 @@ def test_quality_ablation(docs, no_docs):
 # --- op2
 
 
-def brute_licenses(text):
-    lines = licenses.line_words(text or "")
+def brute_licenses(text, templates):
+    words = licenses.text_words(text or "")[0]
     out = {}
-    for t in licenses.compile_templates():
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                grams = licenses.bigrams([w for line in lines[a : b + 1] for w in line])
-                if grams and 2 * len(grams & t.grams) / (len(grams) + len(t.grams)) >= licenses.DICE:
-                    out[t.license] = max(out.get(t.license, 0), 2 * len(grams & t.grams) / (len(grams) + len(t.grams)))
+    for t in templates:
+        for a in range(len(words)):
+            grams, common = set(), set()
+            for w in range(a + 1, len(words)):
+                pair = (words[w - 1], words[w])
+                grams.add(pair)
+                common |= {pair} & t.grams
+                if len(grams) > t.most:
+                    break
+                value = 2 * len(common) / (len(grams) + len(t.grams))
+                if value >= licenses.DICE:
+                    out[t.license, t.number] = max(out.get((t.license, t.number), 0), value)
     return out
 
 
 def test_licenses(spark, no_docs):
     rng = random.Random(2)
-    texts = [None, "", "released under the mit licence", "Nothing here at all"]
-    for own in licenses.TEMPLATES.values():
+    texts = [None, "", "released under the mit licence", "Nothing here at all", "in one line: " + licenses.TEMPLATES["MIT"][2].replace("\n", " ") + " and on it goes"]
+    sure = {4: "MIT"}
+    for name, own in licenses.TEMPLATES.items():
         for t in own:
-            lines = t.split("\n")
-            texts.append("\n".join(["some words before", *lines, "and words behind"]))
+            sure[len(texts)] = name
+            texts.append("some words before " + "\n".join(t.split("\n")) + " and words behind")
             words = t.split(" ")
             words[rng.randrange(len(words))] = "changed"
-            texts.append(" ".join(words))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            texts.append(" ".join(words) + "\n" + rng.choice(list(licenses.TEMPLATES.values()))[0])
+    texts.append("This work is licensed under the GNU General Public License, version 2. " * 3)
+    sure[len(texts) - 1] = "GPL-2.0"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("license", "dice", "template")})
+    templates = licenses.compile_templates()
     for r in licenses.scan(df).collect():
-        want = brute_licenses(texts[r["doc_id"]])
-        assert set(r["licenses"]) == set(want), texts[r["doc_id"]]
+        want = brute_licenses(texts[r["doc_id"]], templates)
         assert r["dice"] == (max(want.values()) if want else None)
+        assert set(r["licenses"]) <= {x for x, _ in want} and bool(r["licenses"]) == bool(want)
+        if want:
+            assert want[r["license"], r["template"]] == r["dice"] and r["license"] in r["licenses"]
+            words, lines = licenses.text_words(texts[r["doc_id"]])
+            assert (lines[r["first_word"]], lines[r["last_word"]]) == (r["first_line"], r["last_line"])
+            grams = licenses.bigrams(words[r["first_word"] : r["last_word"] + 1])
+            t = next(t for t in templates if (t.license, t.number) == (r["license"], r["template"]))
+            assert r["dice"] == 2 * len(grams & t.grams) / (len(grams) + len(t.grams))
+        if r["doc_id"] in sure:
+            assert r["dice"] == 1.0 and r["licenses"] == [sure[r["doc_id"]]], (r, sure[r["doc_id"]])
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_licenses_of_random_and_repetitive_texts():
+    import time
+
+    rng = random.Random(22)
+    own = {"X": ("a b c d e f",), "Y": ("c d e f g h a b",), "Z": ("a a b a a c",)}
+    templates = licenses.compile_templates(own)
+    for _ in range(400):
+        text = " ".join(rng.choice("abcdefghxy") if rng.random() < 0.3 else w for w in (rng.choice(list(own.values()))[0] * 2).split(" "))
+        want = brute_licenses(text, templates)
+        assert {m[:2]: m[2] for m in licenses.matches(licenses.text_words(text)[0], templates)} == want
+    for line in ("a b c d x e f y", licenses.TEMPLATES["MIT"][0], "permission is hereby granted to the software"):
+        words = licenses.text_words((line + "\n") * 20_000)[0]
+        began = time.process_time()
+        licenses.matches(words, licenses.compile_templates() + templates)
+        assert time.process_time() - began < 10
+
+
 # --- op3
 
 
