@@ -697,6 +697,8 @@ def jaccard(a, b, k=5):
 @pytest.mark.parametrize("rounds", [neardup.ROUNDS, 0])
 def test_near_copies(spark, monkeypatch, rounds):
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
     rng = random.Random(8)
     docs = {}
     for d in range(12):
