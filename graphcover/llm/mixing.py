@@ -172,15 +172,18 @@ def mixed_documents(
         F.col("_key").alias(f"{x}key"), F.col("_whole").alias(f"{x}whole"), F.col("_last._order").alias(f"{x}order"), F.col("_last._id").alias(f"{x}id"), F.col("_last.size").alias(f"{x}size"),
         F.col("_last").isNotNull().alias(f"{x}cut"), "_given",
     ).withColumnRenamed("_given", f"{x}given")
+    rows = materialize(rows, "cuts")  # a row per source, whose size Spark then knows
     kept = [c for c in docs.columns if c.lower() not in ("mix_repetition", "mix_words")]
     own = F.col(f"`{id_col}`")
-    slim = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumns({f"{x}source": source_key(F.col(f"`{source_col}`")), f"{x}words": word_count(F.col(f"`{text_col}`")), f"{x}place": _order(own, seed)})
-    told = slim.filter(at("words") > 0).join(rows, at("source") == at("key")).drop(f"{x}key", f"{x}source")
+    slim = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumns({f"{x}source": source_key(F.col(f"`{source_col}`")), f"{x}place": _order(own, seed)})
+    told = slim.join(rows, at("source") == at("key")).drop(f"{x}key", f"{x}source")
+    count = word_count(F.col(f"`{text_col}`"))
+    near = at("cut") & at("place").eqNullSafe(at("order")) & own.eqNullSafe(at("id"))  # only such rows' words are counted twice
     mine, cut = F.struct(at("place").alias("a"), own.alias("b"), at("words").alias("c")), F.struct(at("order").alias("a"), at("id").alias("b"), at("size").alias("c"))
-    equal = at("cut") & mine.eqNullSafe(cut)
     gone = [f"{x}order", f"{x}id", f"{x}size", f"{x}cut", f"{x}place"]
-    plain = told.filter(~equal).withColumn(f"{x}extra", F.when(at("cut") & (mine < cut), at("words")).otherwise(F.lit(0).cast("long"))).drop(*gone, f"{x}given")
-    same = told.filter(equal).drop(*gone)
+    plain = told.withColumn(f"{x}words", count).filter((at("words") > 0) & ~(near & (at("words") == at("size"))))
+    plain = plain.withColumn(f"{x}extra", F.when(at("cut") & (mine < cut), at("words")).otherwise(F.lit(0).cast("long"))).drop(*gone, f"{x}given")
+    same = told.filter(near).withColumn(f"{x}words", count).filter((at("words") > 0) & (at("words") == at("size"))).drop(*gone)
     same = same.groupBy(*(F.col(f"`{c}`") for c in same.columns)).agg(F.count(F.lit(1)).alias(f"{x}n"))
     # different rows of one id and size, if there are any, in an order of their own
     turn = Window.partitionBy(at("place_key")).orderBy(at("hash")).rowsBetween(Window.unboundedPreceding, -1)
