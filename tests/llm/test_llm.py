@@ -694,7 +694,7 @@ def jaccard(a, b, k=5):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("rounds", [neardup.ROUNDS, 0])
+@pytest.mark.parametrize("rounds", [neardup.ROUNDS, 2, 0])
 def test_near_copies(spark, monkeypatch, rounds):
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
     monkeypatch.setattr(neardup, "BLOCK", 3)
