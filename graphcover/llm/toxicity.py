@@ -42,6 +42,8 @@ from graphcover.llm.words import batched, chunks, split_words, text_column
 
 MAX_LABELLED = 40_000
 FOLDS = 5
+#: Different terms a worker counts before it hands its counts on.
+HELD_TERMS = 200_000
 REJECT = 0.7
 ODDS = 2.5
 NEAR = 5
@@ -257,6 +259,15 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
 
     def count(batches):
         toxic, other = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
+
+        def counts():
+            for k in range(FOLDS):
+                terms = [t for t in toxic[k].keys() | other[k].keys() if t]
+                columns = [pa.array(terms, pa.string()), pa.array([k] * len(terms), pa.int32()), *(pa.array([c[k][t] for t in terms], pa.int64()) for c in (toxic, other))]
+                toxic[k].clear()
+                other[k].clear()
+                yield pa.RecordBatch.from_arrays(columns, ["term", "fold", "toxic", "other"])
+
         for batch in batches:
             texts = text_column(batch.column(0))
             label, fold = batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -270,10 +281,9 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
                     for k in np.unique(ids[offsets[i] : offsets[i + 1]]).tolist():
                         found.update(known[k])
                     (toxic if label[a + i] > 0 else other)[fold[a + i]].update(found)
-        for k in range(FOLDS):
-            terms = [t for t in toxic[k].keys() | other[k].keys() if t]
-            columns = [pa.array(terms, pa.string()), pa.array([k] * len(terms), pa.int32()), *(pa.array([c[k][t] for t in terms], pa.int64()) for c in (toxic, other))]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "fold", "toxic", "other"])
+                if sum(map(len, toxic + other)) > HELD_TERMS:
+                    yield from counts()
+        yield from counts()
 
     own = {r["fold"]: (r["toxic"], r["n"] - r["toxic"]) for r in rows.groupBy("fold").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = (sum(x[k] for x in own.values()) for k in (0, 1))
