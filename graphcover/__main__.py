@@ -1,4 +1,4 @@
-"""Command line: ``discover``, ``score``, ``f1``, ``metis`` and ``snap``."""
+"""Command line: ``discover``, ``score``, ``f1``, ``density``, ``metis`` and ``snap``."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ import time
 from pyspark.sql import SparkSession
 
 from graphcover.operators.graph import canonical_edges
-from graphcover.operators.metrics import average_f1, metric_suite
+from graphcover.operators.metrics import average_f1, estimated_p, metric_suite
 from graphcover.plans.discover import discover_communities, run_log_lines
 from graphcover.sources import files
-from graphcover.sources.params import read_params
+from graphcover.sources.params import format_params, read_params
 
 
 def _nodes(spark: SparkSession, n: int):
@@ -34,6 +34,12 @@ def main(argv: list[str] | None = None) -> None:
     f1.add_argument("communities")
     f1.add_argument("truth")
     f1.add_argument("--out", default=".")
+    density = sub.add_parser("density", help="estimate p from chosen communities of a ground truth")
+    density.add_argument("config")
+    density.add_argument("truth")
+    density.add_argument("chosen", help="a file of community numbers, from 1")
+    density.add_argument("--edges")
+    density.add_argument("--first-id", type=int, choices=(0, 1), default=1, help="the id of the first node in both files")
     metis = sub.add_parser("metis", help="METIS graph to edge list")
     metis.add_argument("graph")
     metis.add_argument("out")
@@ -47,18 +53,25 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("graphcover").getOrCreate()
     if args.command == "discover":
         params = read_params(spark, args.config)
+        if params.verbose:
+            print("\n".join(format_params(params)))
         edges = files.read_edges(spark, args.edges or params.edge_file)
         files.check_counts(edges, params.num_nodes, params.num_edges)
         name = (args.edges or params.edge_file).rstrip("/").rpartition("/")[2]
         live = f"{args.out}/CLOG_{params.test_id}_{name}" if params.logs else None
         found = discover_communities(edges, params, _nodes(spark, params.num_nodes), live)
         files.write_communities(found.cover, f"{args.out}/C_{params.test_id}_{name}")
-        files.write_lines(spark, run_log_lines(found.log, params.logs), f"{args.out}/log_{params.test_id}_{name}")
+        files.write_lines(spark, run_log_lines(found, params.logs), f"{args.out}/log_{params.test_id}_{name}")
     elif args.command == "score":
         params = read_params(spark, args.config)
         shift = args.first_id - 1
         edges = files.read_edges(spark, args.edges or params.edge_file, shift)
         metric_suite(edges, files.read_communities(spark, args.communities, shift), _nodes(spark, params.num_nodes)).show(truncate=False)
+    elif args.command == "density":
+        shift = args.first_id - 1
+        edges = files.read_edges(spark, args.edges or read_params(spark, args.config).edge_file, shift)
+        truth = files.read_communities(spark, args.truth, shift)
+        print(f"p {estimated_p(edges, truth, files.read_ids(spark, args.chosen)).first()[0]}")
     elif args.command == "f1":
         began = time.time()
         value = average_f1(files.read_communities(spark, args.communities), files.read_communities(spark, args.truth)).first()[0]
@@ -69,7 +82,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "metis":
         lines = files.numbered_lines(spark, args.graph)
         files.write_edges(files.parse_metis(lines, args.first_id), args.out)
-        files.metis_header(lines).coalesce(1).write.mode("overwrite").json(f"{args.out.rstrip('/')}_dim")
+        files.write_lines(spark, [str(x) for x in files.metis_header(lines).first()], f"{args.out.rstrip('/')}_dim")
     else:
         files.write_snap(canonical_edges(files.read_edges(spark, args.edges)), args.out, args.nodes, args.count)
 

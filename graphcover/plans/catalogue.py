@@ -21,6 +21,11 @@ from graphcover.sources.params import Params, params_frame
 GAMMA = 5
 PLANTED = Params(p=0.8, q=0.1, gamma=10, dense_threshold=250, max_cluster_iter=3, svd_rank=125, test_id="planted", edge_file="planted.txt")
 PLACES = 9
+#: The configuration file of ``PLANTED``.
+PLANTED_LINES = [
+    "THRESHOLD_INIT 1", "DENSE_THRESHOLD 250", "MAX_CLUSTER_ITER 3", "K_MAX 500", "SPARSE_SVD_RANK 125", "DEFAULT_NUM_THREADS 1", "VERBOSE_ON 0", "LOGS_ON 0",
+    "TEST_NUMBER planted", "p 0.8", "q 0.1", "GAMMA 10", "EDGELIST_FILE planted.txt", "NUM_NODES 0", "NUM_EDGES 0",
+]
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -143,6 +148,12 @@ def edge_density(spark, sf):
     return _rounded(m.edge_density(t.copart(spark, sf), t.brands(spark, sf)), "density")
 
 
+def estimated_p(spark, sf):
+    """From every third brand."""
+    chosen = t.brands(spark, sf).filter("cast(substring_index(comm_id, '#', -1) AS int) % 3 = 1").select("comm_id")
+    return _rounded(m.estimated_p(t.copart(spark, sf), t.brands(spark, sf), chosen), "p")
+
+
 def metric_suite(spark, sf):
     return _rounded(m.metric_suite(t.copart(spark, sf), t.brands(spark, sf), t.parts(spark, sf)), "cut_ratio", "conductance", "fomd", "tpr", "modularity")
 
@@ -214,7 +225,7 @@ QUERIES = {
     for f in (
         edges_canonical, edges_parsed, symmetrized, adjacency_list, degree, multigraph_degree, degree_stats, degree_histogram, max_degree, edge_count,
         pure_nodes, threshold_schedule, induced_subgraph, component_ids, component_sizes, whiskers, pruned_nodes, edges_to_cluster, grow_community,
-        argmax_attach, sample_nodes, cut_ratio, conductance, fomd, tpr, modularity, edge_density, metric_suite, community_f1, average_f1, node_pairs,
+        argmax_attach, sample_nodes, cut_ratio, conductance, fomd, tpr, modularity, edge_density, estimated_p, metric_suite, community_f1, average_f1, node_pairs,
         community_lines, communities_parsed, snap_export, metis_parse, params_lines, kernel_dense, kernel_low_rank, discover_planted, discovery_f1,
     )
 }
@@ -292,6 +303,9 @@ SELECT s_suppkey AS node, coalesce(label, 0) AS label, coalesce(n_edges, 0) AS n
     "tpr": f"WITH {_PART}, {_TRI} SELECT comm_id, round(tpr, {PLACES}) AS tpr FROM tprs",
     "modularity": f"WITH {_PART}, {_MOD} SELECT comm_id, round(modularity, {PLACES}) AS modularity FROM mods",
     "edge_density": f"WITH {_PART} SELECT comm_id, round(s_in / nullif(d * (d - 1), 0), {PLACES}) AS density FROM sums",
+    "estimated_p": f"WITH {_PART} SELECT round(avg(s_in / nullif(d * (d - 1), 0)), {PLACES}) AS p FROM sums WHERE CAST(split_part(comm_id, '#', 2) AS INT) % 3 = 1",
+    "sample_nodes": "SELECT p_partkey AS node FROM part ORDER BY left(md5(p_partkey || ' 7'), 15), p_partkey LIMIT 100",
+    "params_lines": f"SELECT * FROM (VALUES {', '.join(f'(CAST({i} AS BIGINT), {x!r})' for i, x in enumerate(PLANTED_LINES, 1))}) x(line, value)",
     "metric_suite": f"""WITH {_PART}, {_DEG}, {_MEDIAN}, {_TRI}, {_MOD},
 fomds AS (SELECT comm_id, avg(CASE WHEN deg_in >= med THEN 1 ELSE 0 END) AS fomd FROM inout, median_ GROUP BY comm_id)
 SELECT round((SELECT avg(s_out / (d * ((SELECT count(*) FROM part) - d))) FROM sums), {PLACES}) AS cut_ratio,

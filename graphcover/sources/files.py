@@ -1,14 +1,15 @@
 """Text files in and out: edge lists, METIS and SNAP graphs, community files, reports.
 
-Line-numbered files are read whole (``wholetext``), because a line's number is its id
-and Spark keeps no order between splits; edge lists, the large ones, are read split.
+All files are read split. Where a line's number is its id, it is the line's place in its
+split and the number of lines in the splits before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphcover.functions.scratch import materialize
 from graphcover.operators.graph import adjacency
 
 
@@ -31,9 +32,17 @@ def check_counts(edges: DataFrame, num_nodes: int, num_edges: int) -> None:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line`` from 1, ``value``."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n"))).select((F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("value"))
+    """``line`` from 1, ``value``; the files of a folder follow each other by name.
+
+    The split of each line is written with it, as another scan might cut the file
+    otherwise; the window is over splits, of which a file has one per 128 MB or so.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    own = materialize(spark.read.text(path).select("value", *where).withColumn("at", F.monotonically_increasing_id()), "lines")
+    splits = own.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("file", "start", (F.coalesce(before, F.lit(0)) + 1 - F.col("first")).alias("offset"))
+    return own.join(offsets, ["file", "start"]).select((F.col("at") + F.col("offset")).alias("line"), "value")
 
 
 def parse_communities(lines: DataFrame, base: int = 0) -> DataFrame:
@@ -47,6 +56,12 @@ def read_communities(spark: SparkSession, path: str, base: int = 0) -> DataFrame
     return parse_communities(numbered_lines(spark, path), base)
 
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``comm_id`` from blank separated numbers, on any number of lines."""
+    ids = F.explode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "))
+    return spark.read.text(path).filter("trim(value) <> ''").select(ids.cast("long").alias("comm_id"))
+
+
 def count_communities(lines: DataFrame) -> int:
     return lines.filter("length(trim(value)) > 0").count()
 
