@@ -59,7 +59,7 @@ def read_communities(spark: SparkSession, path: str, base: int = 0) -> DataFrame
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """``comm_id`` from blank separated numbers, on any number of lines."""
     ids = F.explode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "))
-    return spark.read.text(path).filter("trim(value) <> ''").select(ids.cast("long").alias("comm_id"))
+    return spark.read.text(path).filter("trim(value) <> ''").select(ids.alias("id")).select(F.col("id").cast("long").alias("comm_id"))
 
 
 def count_communities(lines: DataFrame) -> int:
