@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphcover.functions.scratch import materialize
-from graphcover.llm import decontam, linededup, mixing, neardup, toxicity
+from graphcover.llm import decontam, linededup, mixing, neardup, simhash, toxicity
 
-#: Words of a shingle in the near-duplicate stage.
+#: Words of a shingle in the sets that the near-duplicate stage compares; its fingerprints have ``simhash.SHINGLE``.
 SHINGLE = 5
 
 
@@ -26,8 +26,11 @@ def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (``neardup.LEAST`` similar or more) the document with the smallest id stays."""
-    return neardup.drop_near_copies(docs, shingle=SHINGLE)
+    """Of each group of near copies the document with the smallest id stays.
+
+    Links are those of ``op3_simhash`` and, besides, texts ``neardup.LEAST`` similar or more.
+    """
+    return neardup.drop_near_copies(docs, shingle=SHINGLE, radius=simhash.RADIUS)
 
 
 def benchmark_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

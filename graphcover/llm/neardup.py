@@ -13,6 +13,9 @@ a time, and emits the links that join what it had not yet joined, so no table ev
 a row for each pair. A pair is linked only if the sets, made anew for candidates alone,
 are at least ``LEAST`` similar.
 
+With a ``radius`` texts are linked by SimHash as well, by the fingerprints and links of
+``simhash``: a group is what both kinds of links join, so neither loses any of its own.
+
 Null and empty texts are one node; a text with fewer words than a shingle is one
 shingle. Rows are told apart by a hash of id and text, so rows that share an id, or
 have none, are decided each by its own text; of equal rows one stays. Only id and text
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcover.functions.scratch import materialize
+from graphcover.llm import simhash
 from graphcover.llm.bitset import bitset, passes
 from graphcover.llm.words import batched, chunks, FOLD, mapped, split_words, text_column
 from graphcover.operators.components import linked_components
@@ -86,8 +90,8 @@ def _row(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id, row, node, size, bands`` of every row; empty texts have no bands."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int | None = None) -> DataFrame:
+    """``id, row, node, size, bands, fp`` of every row; empty texts have no bands, ``fp`` is null without a radius."""
     slim = docs.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -100,12 +104,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 for k, x in zip(full, bands_of([sets[k] for k in full]).tolist() if full else []):
                     bands[k] = x
                 nodes, sizes = pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())
+                fps = pa.nulls(b - a, pa.int64()) if radius is None else pa.array(simhash.fingerprints_of(texts.slice(a, b - a)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), nodes, sizes, pa.array(bands, pa.list_(pa.int64()))], ["id", "row", "node", "size", "bands"]
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), nodes, sizes, pa.array(bands, pa.list_(pa.int64())), fps], ["id", "row", "node", "size", "bands", "fp"]
                 )
 
     kind = slim.schema["id"].dataType.simpleString()
-    return materialize(batched(slim).mapInArrow(run, f"id {kind}, row long, node long, size long, bands array<long>"), "signatures")
+    return materialize(batched(slim).mapInArrow(run, f"id {kind}, row long, node long, size long, bands array<long>, fp long"), "signatures")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -253,18 +258,30 @@ def similar_pairs(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str
     return links
 
 
-def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+def fingerprint_links(marked: DataFrame, radius: int) -> DataFrame:
+    """``src, dst``: links that join the nodes whose fingerprints are at most ``radius`` bits apart."""
+    owned = materialize(marked.select("fp", "node").distinct(), "near-owned")
+    # written, so that the join with the nodes is of two plain shuffles, whose hot fingerprints Spark can split
+    reps = materialize(owned.groupBy("fp").agg(F.min("node").alias("rep")), "near-reps")
+    same = owned.join(reps, "fp").filter("node <> rep").select(F.col("rep").alias("src"), F.col("node").alias("dst"))
+    return materialize(same.unionByName(simhash.links(reps, radius)), "near-fingerprints")
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE, radius: int | None = None) -> DataFrame:
     """``id, row, node, part`` of every row: rows of a component have one ``part``."""
-    marked = signatures(docs, id_col, text_col, shingle)
-    joined = linked_components(similar_pairs(docs, marked, id_col, text_col, least, shingle)).withColumnRenamed("node", "_node")
+    marked = signatures(docs, id_col, text_col, shingle, radius)
+    links = similar_pairs(docs, marked, id_col, text_col, least, shingle)
+    if radius is not None:
+        links = links.unionByName(fingerprint_links(marked, radius))
+    joined = linked_components(links).withColumnRenamed("node", "_node")
     return materialize(
         marked.join(joined, marked["node"] == joined["_node"], "left").select("id", "row", "node", F.coalesce("component", marked["node"]).alias("part")), "near-components"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE, radius: int | None = None) -> DataFrame:
     """One row of each component, the one with the smallest id; a null id comes last."""
-    found = components_of(docs, id_col, text_col, least, shingle)
+    found = components_of(docs, id_col, text_col, least, shingle, radius)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     first = found.groupBy("part").agg(best, F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     first = materialize(first.select("part", F.col("best.row").alias("stays")), "near-first")

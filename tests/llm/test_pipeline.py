@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphcover.llm import linededup
+from graphcover.llm import linededup, simhash
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru", "sa", "ti", "vo") for b in ("ban", "der", "fil", "gos", "hum", "jor", "kel", "")]
 
@@ -69,6 +69,17 @@ def test_stages(spark, corpus):
     assert mixed.columns == [*columns, "mix_repetition", "mix_words"]
 
 
+def test_near_dedup_keeps_one_of_each_simhash_component(spark, corpus):
+    """A line repeated sets the fingerprint, the words after it the Jaccard similarity."""
+    at, _, _ = corpus
+    rng = random.Random(4)
+    rows = [(i, "\n".join([line(random.Random(i // 3), 15)] * 90) + " " + line(rng, 40)) for i in range(12)] + [(20, line(rng, 60)), (21, None), (22, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert set(component.values()) == {0, 3, 6, 9, 20, 21}
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, df, at).collect()} == set(component.values())
+
+
 @pytest.mark.parametrize("copies", [1, 2, 7])
 def test_mix_of_repeated_rows_and_clashing_names(spark, copies):
     """Totals by id and source equal the plan's, wherever the words run out."""
