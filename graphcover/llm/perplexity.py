@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcover.functions.scratch import materialize, sweep
+from graphcover.functions.scratch import materialize, release, sweep
 from graphcover.llm.bitset import bitset, passes
 from graphcover.llm.words import batched, chunks, text_column
 
@@ -129,13 +129,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model:
-    """``grams[k]`` has ``gram, p`` of order ``k``, ``weights[k]`` ``history, weight``; ``floor`` is the probability of an unknown character."""
+    """``grams[k]`` has ``gram, p`` of order ``k``, ``weights[k]`` ``history, weight``; ``floor`` is the probability of an unknown character.
+
+    ``counts`` is a written table, which goes with the other steps of the model as soon as nothing reads it.
+    """
 
     def __init__(self, counts: DataFrame):
-        of = {ORDER: materialize(counts, "ngrams")}
+        of = {ORDER: counts}
         for k in range(ORDER - 1, 0, -1):  # lower orders count the different characters seen before
             of[k] = materialize(of[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "ngrams")
         self.grams, self.weights, self.floor = {}, {}, 1.0
+        self._sums = {}
         for k in range(1, ORDER + 1):
             row = of[k].agg(F.count(F.lit(1)), F.sum("n"), *(F.count_if(F.col("n") == c) for c in (1, 2, 3, 4)), F.count_if(F.col("n") >= 3)).first()
             d = discounts(*row[2:6])
@@ -152,7 +156,12 @@ class Model:
             lower = self.grams[k - 1].select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             own = of[k].withColumn("history", history).withColumn("suffix", F.substring("gram", 2, k - 1)).join(sums, "history").join(lower, "suffix")
             self.grams[k] = materialize(own.select("gram", ((F.col("n") - less) / F.col("total") + F.col("weight") * F.col("lower")).alias("p")), "model")
-            self.weights[k] = sums.select("history", "weight")
+            self.weights[k], self._sums[k] = sums.select("history", "weight"), sums
+        release(*of.values())
+
+    def release(self) -> None:
+        """Delete the model's tables."""
+        release(*self.grams.values(), *self._sums.values())
 
     def look_up(self, grams: DataFrame) -> DataFrame:
         """``gram, p`` of different n-grams of order ``ORDER``, seen or not."""
@@ -161,7 +170,10 @@ class Model:
             asked[k] = materialize(asked[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct(), "asked")
         found = asked[1].join(self.grams[1], "gram", "left").select("gram", F.coalesce("p", F.lit(self.floor)).alias("p"))
         for k in range(2, ORDER + 1):
-            lower = materialize(found, "answers").select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            answers = materialize(found, "answers")
+            if k > 2:
+                release(before, asked[k - 2])
+            before, lower = answers, answers.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             parts = asked[k].withColumn("history", F.substring("gram", 1, k - 1)).withColumn("suffix", F.substring("gram", 2, k - 1))
             joined = parts.join(self.grams[k], "gram", "left").join(self.weights[k], "history", "left").join(lower, "suffix")
             found = joined.select("gram", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
@@ -249,8 +261,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     different = materialize(asked.select("gram").distinct(), "asked")
     sweep(docs.sparkSession)
     found = materialize(model.look_up(different), "answers")
+    model.release()
+    release(different)
     sweep(docs.sparkSession)
     answers = materialize(batched(_packed_answers(asked, found)), "packed")
+    release(asked, found)
     sweep(docs.sparkSession)
 
     def pack(batches):
